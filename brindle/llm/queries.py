@@ -8,6 +8,9 @@ from importlib import import_module
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op4_exact_dedup": "exact_dedup",
+    "op5_source_mixing": "mixing",
+    "op8_quality_rules": "quality",
+    "op9_bpe_codec": "bpe",
 }
 
 

@@ -6,11 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact_dedup, shared, simhash
+from brindle.llm import bpe, exact_dedup, mixing, quality, shared, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that the line labelling rejects go."""
+    return quality.keep_good(docs, quality.model_for(spark, sf_dir))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays."""
     return exact_dedup.drop_copies(docs)
@@ -21,9 +26,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn at the fitted rates; the rows of a rate above one repeat."""
+    return mixing.draw(docs, shared.load(spark, sf_dir, "labels"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, their count, and whether decoding gives the text again."""
+    return bpe.encode(docs)
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("exact dedup", exact),
     ("SimHash near-dedup", near),
+    ("mixing to target weights", mix),
+    ("BPE encoding", encode),
 ]
 
 #: The line-labelling model, SimHash and BPE are beyond SQL; tests compare the rows with brute force.
