@@ -59,14 +59,20 @@ def features(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "distinct": F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)),
         "size": F.size("_words").cast("double"),
     }
-    bin_of = {k: sum((F.when(measures[k] > e, 1).otherwise(0) for e in edges), F.lit(0)) for k, edges in EDGES.items()}
+    docs = docs.withColumns({f"_m_{k}": m for k, m in measures.items()})
+    bin_of = {k: sum((F.when(F.col(f"_m_{k}") > e, 1).otherwise(0) for e in edges), F.lit(0)) for k, edges in EDGES.items()}
     bins = []
     for shape in SHAPES:
         cell = F.lit(0)
         for k in shape:
             cell = cell * (len(EDGES[k]) + 1) + bin_of[k]
         bins.append(cell)
-    return docs.select(*[c for c in docs.columns if c != "_text"], F.size("_words").cast("bigint").alias("_tokens"), F.array(*bins).alias("_bins"))
+    return docs.select(*[c for c in docs.columns if c != "_text" and not c.startswith("_m_")], F.size("_words").cast("bigint").alias("_tokens"), F.array(*bins).alias("_bins"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: the optimizer copies a plain column into every place that names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def lexicon_bins(lexicons: list[list[str]]) -> Column:
@@ -83,17 +89,23 @@ class Membership:
 
     def apply(self, rows: DataFrame) -> DataFrame:
         """rows with features, and _p: array<double> of the domains' posteriors."""
-        rows = rows.withColumn("_bins", F.concat(lexicon_bins(self.lexicons), "_bins"))
-        scores = []
-        for k in range(len(self.prior)):
-            s = F.lit(self.prior[k])
-            for i, table in enumerate(self.tables):
-                s = s + F.array(*[F.lit(row[k]) for row in table])[F.col("_bins")[i]]
-            scores.append(s)
-        rows = rows.withColumn("_scores", F.array(*scores))
-        rows = rows.withColumn("_raw", F.transform("_scores", lambda s: F.exp(s - F.array_max(F.col("_scores")))))
-        total = sum((F.col("_raw")[k] for k in range(1, len(self.prior))), F.col("_raw")[0])
-        return rows.withColumn("_p", F.transform("_raw", lambda x: x / total)).drop("_scores", "_raw", "_words", "_bins")
+
+        def scores(bins: Column) -> Column:
+            out = []
+            for k in range(len(self.prior)):
+                s = F.lit(self.prior[k])
+                for i, table in enumerate(self.tables):
+                    s = s + F.array(*[F.lit(row[k]) for row in table])[bins[i]]
+                out.append(s)
+            return F.array(*out)
+
+        def normal(raw: Column) -> Column:
+            total = sum((raw[k] for k in range(1, len(self.prior))), raw[0])
+            return F.transform(raw, lambda x: x / total)
+
+        softmax = lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), normal)
+        posteriors = let(F.concat(lexicon_bins(self.lexicons), "_bins"), lambda bins: let(scores(bins), softmax))
+        return rows.withColumn("_p", posteriors).drop("_words", "_bins")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Membership:
@@ -126,13 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     return Membership(prior, lexicons, tables)
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """A document's rate after these steps, from _p."""
+def rate_of(steps: list[list[float]], p: Column) -> Column:
+    """A document's rate after these steps, from its posteriors."""
     rate = F.lit(1.0)
     if not steps:
         return rate
     table = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    move = lambda s: sum((F.col("_p")[k] * s[k] for k in range(len(steps[0]))), F.lit(0.0))
+    move = lambda s: sum((p[k] * s[k] for k in range(len(steps[0]))), F.lit(0.0))
     return F.aggregate(table, rate, lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
 
 
@@ -150,7 +162,7 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, en
     solve = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     steps: list[list[float]] = []
     for _ in range(rounds):
-        sums = members.withColumn("_r", rate_of(steps)).agg(*[F.sum(F.col("_r") * t * F.col("_p")[i]).alias(f"s{i}") for i in range(k)]).first()
+        sums = members.withColumn("_r", rate_of(steps, F.col("_p"))).agg(*[F.sum(F.col("_r") * t * F.col("_p")[i]).alias(f"s{i}") for i in range(k)]).first()
         residual = np.array([sums[f"s{i}"] for i in range(k)]) / everything - share
         if np.abs(residual).max() < enough:
             break
@@ -166,14 +178,13 @@ def members(docs: DataFrame, model: Membership, id_column: str = "doc_id", text_
 def copies(rate: Column, key: Column) -> Column:
     """How often a row is drawn."""
     uniform = F.shiftrightunsigned(F.xxhash64(key, F.lit("draw")), 11) / F.lit(float(1 << 53))
-    whole = F.floor(rate)
-    return (whole + F.when(uniform < rate - whole, 1).otherwise(0)).cast("int")
+    return let(rate, lambda r: (F.floor(r) + F.when(uniform < r - F.floor(r), 1).otherwise(0)).cast("int"))
 
 
 def label(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_words, posteriors, rate, n_copies of every row."""
     slim = cut(members(docs, train(docs, labels)))
-    rated = slim.withColumn("rate", rate_of(fit_rates(slim, [targets[d] for d in DOMAINS])))
+    rated = slim.withColumn("rate", rate_of(fit_rates(slim, [targets[d] for d in DOMAINS]), F.col("_p")))
     return rated.select(F.col("_id").alias("doc_id"), F.col("_tokens").alias("n_words"), *[F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("_id")).alias("n_copies"))
 
 
@@ -181,8 +192,9 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     """The drawn rows with all their columns. Rates come from posteriors alone, so texts are read twice, never shuffled."""
     model = train(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), labels)
     steps = fit_rates(cut(members(docs, model, id_column, text_column)), [targets[d] for d in DOMAINS])
-    rated = model.apply(features(docs, text_column)).withColumn("_n", copies(rate_of(steps), F.col(id_column)))
-    return rated.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rated = model.apply(features(docs, text_column)).withColumn("_n", let(F.col("_p"), lambda p: copies(rate_of(steps, p), F.col(id_column))))
+    # An outer explode: for a plain one the optimizer would compute the rate once more, in a filter before it.
+    return rated.withColumn("_n", F.explode_outer(F.array_repeat(F.lit(1), F.col("_n")))).filter("_n is not null").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
