@@ -68,7 +68,7 @@ class Merges:
         key = a << 20 | b
         known = self._known.get(key)
         if known is None:
-            if len(self._known) > 2_000_000:
+            if len(self._known) > 500_000:
                 self._known.clear()
             known = self._known[key] = self._decide(a, b)
         return known

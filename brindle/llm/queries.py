@@ -7,10 +7,13 @@ from importlib import import_module
 #: Query name and the module that has query() and, where SQL can express it, SQL.
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
+    "op2_url_filter": "url_filter",
+    "op3_chat_formatting": "chat",
     "op4_exact_dedup": "exact_dedup",
     "op5_source_mixing": "mixing",
     "op8_quality_rules": "quality",
     "op9_bpe_codec": "bpe",
+    "op10_token_counts": "token_counts",
 }
 
 
