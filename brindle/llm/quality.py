@@ -84,7 +84,7 @@ def analyse(parts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     buf, offsets = K.flat(parts)
     n = int(offsets[-1])
     starts, ends, by_part = K.word_bounds(buf, offsets)
-    h = K.xxh64(buf, starts, ends - starts)
+    h = K.word_hashes(buf, starts, ends - starts)
     over = lambda table: (s := _sums(table, buf, n))[offsets[1:]] - s[offsets[:-1]]
     counts = {"n_words": np.diff(by_part), "word_chars": over(_BLACK_POINT), "n_symbols": over(_SYMBOL)}
     # Lines, without those that hold no word.

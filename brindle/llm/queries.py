@@ -11,6 +11,8 @@ MODULES = {
     "op3_chat_formatting": "chat",
     "op4_exact_dedup": "exact_dedup",
     "op5_source_mixing": "mixing",
+    "op6_line_dedup": "line_dedup",
+    "op7_substring_dedup": "substring_dedup",
     "op8_quality_rules": "quality",
     "op9_bpe_codec": "bpe",
     "op10_token_counts": "token_counts",
