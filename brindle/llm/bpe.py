@@ -27,7 +27,24 @@ from .shared import load
 
 NONE = 1 << 60
 #: Entries that a worker's memory of encoded chunks holds before it starts afresh.
-MEMORY = 800_000
+MEMORY = 250_000
+
+
+class Seen:
+    """Whether a key came before, by one byte at its hash; so that what comes once takes no room in a memory."""
+
+    def __init__(self, bits: int = 22):
+        self.marks, self.mask, self.n = bytearray(1 << bits), (1 << bits) - 1, 0
+
+    def before(self, key) -> bool:
+        at = hash(key) & self.mask
+        if self.marks[at]:
+            return True
+        self.n += 1
+        if self.n > self.mask >> 1:
+            self.marks, self.n = bytearray(self.mask + 1), 0
+        self.marks[at] = 1
+        return False
 
 
 def byte_letters() -> dict[str, int]:
@@ -163,6 +180,7 @@ class ByteBPE:
                     self.longest[t[:k]] = max(self.longest.get(t[:k], 0), len(t))
         self.pairs, self.fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.memory: dict[str, bytes] = {}
+        self.seen = Seen()
         self.exact = 0
 
     def speculate(self, word: bytes) -> list[int]:
@@ -198,7 +216,7 @@ class ByteBPE:
         new = codes[~inside | (self.pairs[np.minimum(at, max(len(self.pairs) - 1, 0))] != codes)] if len(self.pairs) else codes
         if not len(new):
             return
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) > 2_000_000:
             self.pairs, self.fits, new = self.pairs[:0], self.fits[:0], codes
         decide = self.merges._decide
         fits = np.fromiter((decide(c >> 20, c & 0xFFFFF) for c in new.tolist()), dtype=bool, count=len(new))
@@ -223,11 +241,15 @@ class ByteBPE:
             plan.append(todo)
         memory = self.memory
         fresh = {c for todo in plan for c in todo if c not in memory}
-        if len(memory) + len(fresh) > MEMORY:
+        if len(memory) > MEMORY:
             memory.clear()
             fresh = {c for todo in plan for c in todo}
         self._remember(sorted(fresh))
-        return [b"".join(map(memory.__getitem__, todo)) for todo in plan]
+        out = [b"".join(map(memory.__getitem__, todo)) for todo in plan]
+        for c in fresh:
+            if not self.seen.before(c):
+                del memory[c]
+        return out
 
     def _add(self, todo: list[str], text: str) -> None:
         if text:

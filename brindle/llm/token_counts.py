@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .bpe import Merges, byte_letters
+from .bpe import Merges, Seen, byte_letters
 from .shared import load
 
 LIMIT = 2048
-MEMORY = 500_000
+#: Entries of a worker's memory of counted chunks.
+MEMORY = 250_000
 
 
 class WordBPE:
@@ -67,6 +68,7 @@ class WordBPE:
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.memory: dict[str, int] = {}
         self._words: dict[bytes, int] = {}
+        self.seen, self._seen_words = Seen(), Seen()
 
     def table(self, word: bytes, finished: str = "every") -> tuple[list[int], list[int]]:
         """Token counts of every prefix of a word, 0 to its length: unfinished, finished.
@@ -94,9 +96,11 @@ class WordBPE:
     def word_count(self, word: bytes) -> int:
         found = self._words.get(word)
         if found is None:
-            if len(self._words) > MEMORY // 2:
-                self._words.clear()
-            found = self._words[word] = self.table(word, "last")[1][-1]
+            found = self.table(word, "last")[1][-1]
+            if self._seen_words.before(word):
+                if len(self._words) > MEMORY:
+                    self._words.clear()
+                self._words[word] = found
         return found
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
@@ -118,9 +122,11 @@ class WordBPE:
     def chunk_count(self, chunk: str) -> int:
         found = self.memory.get(chunk)
         if found is None:
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            found = self.memory[chunk] = sum(map(self.word_count, self.words(chunk)))
+            found = sum(map(self.word_count, self.words(chunk)))
+            if self.seen.before(chunk):
+                if len(self.memory) > MEMORY:
+                    self.memory.clear()
+                self.memory[chunk] = found
         return found
 
     def count(self, text: str) -> int:
