@@ -292,8 +292,12 @@ def default_path() -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, text_column: str = "text") -> DataFrame:
-    """All columns, and n_tokens, token_ids (array<int>), round_trip (decoding gave the text again)."""
+    """All columns, and n_tokens, token_ids (array<int>), round_trip (decoding gave the text again).
+
+    Columns that have these names already are replaced.
+    """
     path = path or default_path()
+    docs = docs.drop("n_tokens", "token_ids", "round_trip")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_tokens bigint", "token_ids array<int>", "round_trip boolean"])
 
     def run(batches):
@@ -311,8 +315,9 @@ def encode(docs: DataFrame, path: str | None = None, text_column: str = "text")
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_column: str = "token_ids") -> DataFrame:
-    """All columns, and decoded: the text of the ids (null ids give an empty text)."""
+    """All columns, and decoded (replaced if there): the text of the ids (null ids give an empty text)."""
     path = path or default_path()
+    tokens = tokens.drop("decoded")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields), "decoded string"])
 
     def run(batches):

@@ -6,8 +6,8 @@ the bytes: its map-side combine leaves one row per distinct text and task, so a
 more than a small one. A hash that turns out to stand for several texts is split through that second grouping.
 
 Defined cases: a null text counts as empty; empty texts are copies of each other; rows that repeat both id
-and text all count in ``group_size`` and share one verdict; a null id never wins over another id; an empty
-table gives an empty result; further columns pass through untouched in :func:`drop_copies`.
+and text all count in ``group_size`` and share one verdict; a null id never wins over another id, and
+:func:`drop_copies` never drops a row without an id; an empty table gives an empty result; further columns pass through untouched in :func:`drop_copies`.
 """
 
 from __future__ import annotations

@@ -192,9 +192,11 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     """The drawn rows with all their columns. Rates come from posteriors alone, so texts are read twice, never shuffled."""
     model = train(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), labels)
     steps = fit_rates(cut(members(docs, model, id_column, text_column)), [targets[d] for d in DOMAINS])
-    rated = model.apply(features(docs, text_column)).withColumn("_n", let(F.col("_p"), lambda p: copies(rate_of(steps, p), F.col(id_column))))
+    # The row travels as one struct, so that no column name of the caller's can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_own"))
+    rated = model.apply(features(whole, "_own")).withColumn("_n", let(F.col("_p"), lambda p: copies(rate_of(steps, p), F.col("_id"))))
     # An outer explode: for a plain one the optimizer would compute the rate once more, in a filter before it.
-    return rated.withColumn("_n", F.explode_outer(F.array_repeat(F.lit(1), F.col("_n")))).filter("_n is not null").select(*docs.columns)
+    return rated.withColumn("_n", F.explode_outer(F.array_repeat(F.lit(1), F.col("_n")))).filter("_n is not null").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

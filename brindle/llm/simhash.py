@@ -17,7 +17,8 @@ Fingerprints are 64 bits over XXH64 hashes of word shingles. Two fingerprints li
 5. Links become components by alternating large-star and small-star steps over tables; nothing is collected.
 
 Defined cases: null and wordless texts have fingerprint zero and link to each other; fewer words than a shingle
-form one shingle; repeated rows share a component; a component whose ids are all null has a null id.
+form one shingle; repeated rows share a component; a component whose ids are all null has a null id; :func:`keep_one` never drops
+a row without an id.
 """
 
 from __future__ import annotations

@@ -195,6 +195,7 @@ def default_path() -> str:
 
 def _mapped(docs: DataFrame, text_column: str, extra: str, rows, path: str | None) -> DataFrame:
     path = path or default_path()
+    docs = docs.drop(*[e.split()[0] for e in extra.split(", ")])  # what has these names already is replaced
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def run(batches):
