@@ -1,4 +1,4 @@
-"""What a plan does: pushed filters, columns read, and exchanges."""
+"""What a plan does: pushed filters, columns read, exchanges, and whether batches and generated code are used."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def report(df: DataFrame) -> dict:
-    """pushed: filters at the scans; read: their columns; exchanges; codegen: stages compiled as one."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    """For each file scan its columns and the filters pushed to it; the number of exchanges; batched scans."""
+    execution = df._jdf.queryExecution()
+    leaves = execution.sparkPlan().collectLeaves()
+    scans = [leaf for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.getClass().getSimpleName() == "FileSourceScanExec"]
+    plan = execution.executedPlan().toString()
     return {
-        "pushed": re.findall(r"PushedFilters: \[([^\]]*)\]", plan),
-        "read": re.findall(r"ReadSchema: struct<([^>]*)", plan),
-        "exchanges": len(re.findall(r"Exchange (?:hash|range|Single)", plan)),
-        "batched": "Batched: true" in plan,
-        "codegen": bool(re.search(r"\*\(\d+\)|WholeStageCodegen", df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")))),
+        "read": [list(s.requiredSchema().fieldNames()) for s in scans],
+        "pushed": [s.dataFilters().mkString("; ") for s in scans],
+        "exchanges": len(re.findall(r"\bExchange ", plan)),
+        "batched": all(s.supportsColumnar() for s in scans),
     }
