@@ -39,7 +39,7 @@ ORACLE = {
     "distinct_single": "select distinct l_returnflag from lineitem",
     "distinct_multi": "select distinct l_returnflag, l_linestatus, l_linenumber from lineitem where l_quantity > 40",
     "group_no_aggregate": "select l_linenumber from lineitem group by l_linenumber",
-    "tpch_q1": "select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice), 2) as sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, avg(l_quantity) as avg_qty, round(avg(l_extendedprice), 4) as avg_price, round(avg(l_discount), 6) as avg_disc, count(l_discount) as count_order from lineitem where cast(l_shipdate as date) <= date '1998-12-01' - interval 106 day group by l_returnflag, l_linestatus",
+    "tpch_q1": "with priced as (select *, l_extendedprice * (1 - l_discount) as net from lineitem where cast(l_shipdate as date) <= date '1998-12-01' - interval 106 day) select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice), 2) as sum_base_price, round(sum(net), 2) as sum_disc_price, round(sum(net * (1 + l_tax)), 2) as sum_charge, avg(l_quantity) as avg_qty, round(avg(l_extendedprice), 4) as avg_price, round(avg(l_discount), 6) as avg_disc, count(l_discount) as count_order from priced group by l_returnflag, l_linestatus",
     "agg_count_distinct": "select l_returnflag, count(distinct l_partkey) as n from lineitem group by l_returnflag",
     "agg_distinct_multi_input": "select l_returnflag, count(distinct (l_partkey, l_suppkey)) as n from lineitem group by l_returnflag",
     "agg_ordered_input": "select l_orderkey, string_agg(l_linenumber::varchar, ',' order by l_quantity, l_linenumber) as ks from lineitem group by l_orderkey",
