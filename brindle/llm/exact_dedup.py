@@ -2,8 +2,10 @@
 
 Texts are equal when identical after each run of ASCII white space becomes one space. Rows are first grouped
 by a 128-bit hash of that form. Where a group has two rows or more, a second grouping by (hash, text) compares
-the bytes: its map-side combine leaves one row per distinct text and task, so a hot group of copies costs no
-more than a small one. A hash that turns out to stand for several texts is split through that second grouping.
+the bytes. A hash that turns out to stand for several texts is split through that second grouping.
+
+Not yet safe for a hot group: the joins on the hash (of all rows with their group, and, where the repeated hashes are too
+many to broadcast, of the texts that are compared) bring all rows of one hash to one task, which Spark doesn't split.
 
 Defined cases: a null text counts as empty; empty texts are copies of each other; rows that repeat both id
 and text all count in ``group_size`` and share one verdict; a null id never wins over another id, and
