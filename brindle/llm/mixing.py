@@ -5,11 +5,12 @@
    ``VOCABULARY`` most telling words (as counts by domain) and bins of four measures of shape. Counts are aggregated in Spark; only the
    bounded tables of counts reach the driver.
 2. Every document gets posteriors p[k] and its number of words as tokens.
-3. Rates r >= 0 start at one and follow projected gradient steps for the least squares between expected domain
-   totals, sum of r * tokens * p[k], and target[k] * all tokens. In the token-weighted inner product a step is
-   r <- max(0, r - sum of p[k] * step[k]), with step = inverse Gram matrix x residual, so the objective's curvature
-   is one and step length one is safe. An iteration is one aggregate of a few sums; a document's rate is a function
-   of its posteriors and the list of steps, so no row state is kept between iterations.
+3. Rates r >= 0 solve the least squares between expected domain totals, sum of r * tokens * p[k], and target[k] *
+   all tokens, in the metric of the inverse Gram matrix of the token-weighted posteriors; among equal solutions they
+   are the nearest to one. That is r = max(0, 1 - sum of p[k] * pull[k]), and pull comes from Newton steps on the dual
+   problem, whose size is the number of domains. A distance to one with weight ``NEAR`` keeps the dual finite where
+   targets are out of reach. An iteration is one aggregate of a few sums, and no row state is kept between iterations.
+   They end when the dual's gradient is under ``ENOUGH``; if ``ROUNDS`` don't get there, an error gives the residual.
 4. A document is drawn floor(rate) times, and once more with the rest as probability, by a hash of its id.
 
 Defined cases: null text counts as empty (no tokens, posteriors from priors and bins); null ids are drawn like any
@@ -35,7 +36,9 @@ SAMPLE, VOCABULARY = 1500, 128
 LIFT = math.log(6)
 #: Sample documents of its domain that a telling word is in, at least.
 SEEN = 8
-ROUNDS, ENOUGH = 40, 1e-5
+ROUNDS, ENOUGH = 100, 1e-5
+#: Weight of the rates' distance to one against the least squares.
+NEAR = 1e-10
 EDGES = {"symbols": [0.0, 0.005, 0.02, 0.06], "upper": [0.02, 0.05, 0.2, 0.5], "distinct": [0.1, 0.25, 0.45, 0.7], "size": [20.0, 100.0, 500.0, 2000.0]}
 #: Features: shapes whose bins count jointly, since one depends on the other.
 SHAPES = [["symbols"], ["upper"], ["distinct", "size"]]
@@ -138,36 +141,62 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     return Membership(prior, lexicons, tables)
 
 
-def rate_of(steps: list[list[float]], p: Column) -> Column:
-    """A document's rate after these steps, from its posteriors."""
-    rate = F.lit(1.0)
-    if not steps:
-        return rate
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    move = lambda s: sum((p[k] * s[k] for k in range(len(steps[0]))), F.lit(0.0))
-    return F.aggregate(table, rate, lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
+def rate_of(pull: list[float], p: Column) -> Column:
+    """A document's rate from its posteriors."""
+    return F.greatest(F.lit(0.0), sum((p[k] * F.lit(-float(x)) for k, x in enumerate(pull)), F.lit(1.0)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, enough: float = ENOUGH) -> list[list[float]]:
-    """The steps that make the rates; members has _tokens and _p."""
+def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, enough: float = ENOUGH) -> list[float]:
+    """The pull of each domain, which makes the rates; members has _tokens and _p. Raises if ``rounds`` passes don't suffice."""
     k = len(targets)
     share = np.array(targets) / sum(targets)
     t = F.col("_tokens").cast("double")
-    cells = [F.sum(t * F.col("_p")[i] * F.col("_p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = members.agg(F.sum(t).alias("all"), *cells).first()
-    everything = first["all"] or 0.0
+
+    def sums(rate: Column, x: list[Column]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens; sums of rate * x[i]; sums of x[i] * x[j] where the rate is positive."""
+        n = len(x)
+        on = F.when(F.col("_r") > 0, t).otherwise(0.0)
+        cells = [F.sum(on * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
+        row = members.withColumn("_r", rate).agg(F.sum(t).alias("all"), *[F.sum(F.col("_r") * t * x[i]).alias(f"s{i}") for i in range(n)], *cells).first()
+        everything = row["all"] or 0.0
+        if everything <= 0:
+            return 0.0, np.zeros(n), np.zeros((n, n))
+        gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+        return everything, np.array([row[f"s{i}"] for i in range(n)]) / everything, gram / everything
+
+    everything, _, gram = sums(F.lit(1.0), [F.col("_p")[i] for i in range(k)])
     if everything <= 0:
-        return []
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
-    solve = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    steps: list[list[float]] = []
+        return [0.0] * k
+    # Coordinates in which the Gram matrix is the identity; directions without mass go.
+    size, axes = np.linalg.eigh(gram)
+    seen = size > 1e-9 * size.max()
+    base = axes[:, seen] / np.sqrt(size[seen])
+    x = [sum((F.col("_p")[i] * F.lit(float(base[i, j])) for i in range(k)), F.lit(0.0)) for j in range(base.shape[1])]
+    goal = base.T @ share
+
+    def slope_at(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the dual."""
+        _, got, curve = sums(rate_of(base @ z, F.col("_p")), x)
+        return goal - got + NEAR * z, curve + NEAR * np.eye(len(z))
+
+    z = np.zeros(len(goal))
+    gradient, hessian = slope_at(z)
+    step, length = -np.linalg.solve(hessian, gradient), 1.0
     for _ in range(rounds):
-        sums = members.withColumn("_r", rate_of(steps, F.col("_p"))).agg(*[F.sum(F.col("_r") * t * F.col("_p")[i]).alias(f"s{i}") for i in range(k)]).first()
-        residual = np.array([sums[f"s{i}"] for i in range(k)]) / everything - share
-        if np.abs(residual).max() < enough:
-            break
-        steps.append([float(x) for x in solve @ residual])
-    return steps
+        if np.abs(gradient).max() < enough:
+            return [float(v) for v in base @ z]
+        down = abs(gradient @ step)
+        there, curve = slope_at(z + length * step)
+        rise = there @ step
+        if rise > 0.5 * down:
+            # Too far: the dual is convex, so its least value along the step lies before; the secant goes there.
+            length *= down / (down + rise)
+            continue
+        z, gradient = z + length * step, there
+        step, length = -np.linalg.solve(curve, gradient), 1.0
+    if np.abs(gradient).max() < enough:
+        return [float(v) for v in base @ z]
+    raise RuntimeError(f"rates not settled after {rounds} rounds: residual {np.abs(gradient).max():.3g}, enough is {enough:g}")
 
 
 def members(docs: DataFrame, model: Membership, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -191,10 +220,10 @@ def label(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The drawn rows with all their columns. Rates come from posteriors alone, so texts are read twice, never shuffled."""
     model = train(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), labels)
-    steps = fit_rates(cut(members(docs, model, id_column, text_column)), [targets[d] for d in DOMAINS])
+    pull = fit_rates(cut(members(docs, model, id_column, text_column)), [targets[d] for d in DOMAINS])
     # The row travels as one struct, so that no column name of the caller's can clash.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_own"))
-    rated = model.apply(features(whole, "_own")).withColumn("_n", let(F.col("_p"), lambda p: copies(rate_of(steps, p), F.col("_id"))))
+    rated = model.apply(features(whole, "_own")).withColumn("_n", let(F.col("_p"), lambda p: copies(rate_of(pull, p), F.col("_id"))))
     # An outer explode: for a plain one the optimizer would compute the rate once more, in a filter before it.
     return rated.withColumn("_n", F.explode_outer(F.array_repeat(F.lit(1), F.col("_n")))).filter("_n is not null").select("_row.*")
 

@@ -266,6 +266,33 @@ def test_mixing_rates_meet_the_projection(spark):
     assert (rate >= 0).all() and (rate == 0).any() and share[0] == pytest.approx(0.98, abs=0.15)
 
 
+@pytest.mark.parametrize("parts", [[0.4, 0.1, 0.5], [0.6, 0.07, 0.33], [0.01, 0.5, 0.49]])
+def test_mixing_rates_meet_attainable_targets(spark, parts):
+    """Mixtures with overlapping domains of which one is far too large or too small: targets are met, not approached."""
+    rng = np.random.default_rng(3)
+    n, share = 4000, [0.94, 0.03, 0.03]
+    score = rng.normal(size=(n, 3)) + 2.5 * np.eye(3)[rng.choice(3, size=n, p=parts)]
+    p = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+    t = rng.integers(1, 2000, size=n)
+    members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(n)], "_id bigint, _tokens bigint, _p array<double>")
+    rate = mixing.rate_of(mixing.fit_rates(members, share), F.col("_p"))
+    r = np.array([row["r"] for row in members.withColumn("r", rate).orderBy("_id").collect()])
+    assert (r >= 0).all() and (r == 0).any()
+    assert (r * t) @ p / t.sum() == pytest.approx(share, abs=2e-5)
+    with pytest.raises(RuntimeError, match="residual"):
+        mixing.fit_rates(members, share, rounds=1)
+
+
+def test_mixing_rates_of_targets_out_of_reach(spark):
+    """The conditions of the least squares: no gradient at positive rates, none below zero at zero rates."""
+    p = np.array([[0.5, 0.5, 0.0], [0.9, 0.1, 0.0], [0.2, 0.8, 0.0]])
+    members = spark.createDataFrame([(i, 1, p[i].tolist()) for i in range(3)], "_id bigint, _tokens bigint, _p array<double>")
+    rate = mixing.rate_of(mixing.fit_rates(members, [0.94, 0.03, 0.03]), F.col("_p"))
+    r = np.array([row["r"] for row in members.withColumn("r", rate).orderBy("_id").collect()])
+    slope = p @ np.linalg.pinv(p.T @ p / 3) @ (r @ p / 3 - [0.94, 0.03, 0.03])
+    assert (r == 0).any() and np.abs(slope[r > 0]).max() < 1e-4 and slope.min() > -1e-4
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------
 
 
