@@ -51,14 +51,14 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def features(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """All columns, and _words (lower-case, cut at ASCII signs, digits and white space), _tokens, _bins (one bin number for each shape)."""
+    """All columns, and _words (the lower-case runs of letters and their marks), _tokens, _bins (one bin number for each shape)."""
     text = text_or_empty(text_column)
-    words = F.filter(F.split(F.lower(text), r"[\x00-@\[-`{-~]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
     docs = docs.withColumn("_text", text).withColumn("_words", words)
     size = F.greatest(F.length("_text"), F.lit(1))
     measures = {
         "symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>!]")) / size,
-        "upper": F.regexp_count("_text", F.lit("[A-ZÀ-ÖØ-Þ]")) / size,
+        "upper": F.regexp_count("_text", F.lit(r"\p{Lu}")) / size,
         "distinct": F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)),
         "size": F.size("_words").cast("double"),
     }

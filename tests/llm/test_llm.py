@@ -293,6 +293,15 @@ def test_mixing_rates_of_targets_out_of_reach(spark):
     assert (r == 0).any() and np.abs(slope[r > 0]).max() < 1e-4 and slope.min() > -1e-4
 
 
+def test_mixing_features_of_other_scripts(spark):
+    """Typographic signs and no-break spaces part words; capitals of every script count."""
+    text = "\u201cIdiot\u201d\u2014it\u2019s\u00a0na\u00efve, e\u0301t\u00e9\u3002\u4f60\u597d\u3001x1y"
+    found = mixing.features(spark.createDataFrame([(text,), ("\u0416\u0423\u041a \u03a9\u039c\u0395\u0393\u0391",), ("abc defgh",)], "text string")).collect()
+    assert found[0]["_words"] == ["idiot", "it", "s", "na\u00efve", "e\u0301t\u00e9", "\u4f60\u597d", "x", "y"] and found[0]["_tokens"] == 8
+    upper = [r["_bins"][1] for r in found]
+    assert upper[1] == len(mixing.EDGES["upper"]) and upper[2] == 0
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------
 
 
