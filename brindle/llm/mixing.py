@@ -8,8 +8,8 @@
 3. Rates r >= 0 solve the least squares between expected domain totals, sum of r * tokens * p[k], and target[k] *
    all tokens, in the metric of the inverse Gram matrix of the token-weighted posteriors; among equal solutions they
    are the nearest to one. That is r = max(0, 1 - sum of p[k] * pull[k]), and pull comes from Newton steps on the dual
-   problem, whose size is the number of domains. A distance to one with weight ``NEAR`` keeps the dual finite where
-   targets are out of reach. An iteration is one aggregate of a few sums, and no row state is kept between iterations.
+   problem, whose size is the number of domains. A distance to one with falling weights ``NEAR`` keeps the dual finite
+   where targets are out of reach. An iteration is one aggregate of a few sums, and no row state is kept between iterations.
    They end when the dual's gradient is under ``ENOUGH``; if ``ROUNDS`` don't get there, an error gives the residual.
 4. A document is drawn floor(rate) times, and once more with the rest as probability, by a hash of its id.
 
@@ -36,9 +36,9 @@ SAMPLE, VOCABULARY = 1500, 128
 LIFT = math.log(6)
 #: Sample documents of its domain that a telling word is in, at least.
 SEEN = 8
-ROUNDS, ENOUGH = 100, 1e-5
-#: Weight of the rates' distance to one against the least squares.
-NEAR = 1e-10
+ROUNDS, ENOUGH = 200, 1e-5
+#: Weights of the rates' distance to one against the least squares, one after the other; the last one counts.
+NEAR = (1e-2, 1e-4, 1e-6, 1e-8, 1e-10)
 EDGES = {"symbols": [0.0, 0.005, 0.02, 0.06], "upper": [0.02, 0.05, 0.2, 0.5], "distinct": [0.1, 0.25, 0.45, 0.7], "size": [20.0, 100.0, 500.0, 2000.0]}
 #: Features: shapes whose bins count jointly, since one depends on the other.
 SHAPES = [["symbols"], ["upper"], ["distinct", "size"]]
@@ -174,29 +174,29 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, en
     x = [sum((F.col("_p")[i] * F.lit(float(base[i, j])) for i in range(k)), F.lit(0.0)) for j in range(base.shape[1])]
     goal = base.T @ share
 
-    def slope_at(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slope_at(z: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and Hessian of the dual."""
         _, got, curve = sums(rate_of(base @ z, F.col("_p")), x)
-        return goal - got + NEAR * z, curve + NEAR * np.eye(len(z))
-
-    z = np.zeros(len(goal))
-    gradient, hessian = slope_at(z)
-    step, length = -np.linalg.solve(hessian, gradient), 1.0
-    for _ in range(rounds):
-        if np.abs(gradient).max() < enough:
-            return [float(v) for v in base @ z]
-        down = abs(gradient @ step)
-        there, curve = slope_at(z + length * step)
-        rise = there @ step
-        if rise > 0.5 * down:
-            # Too far: the dual is convex, so its least value along the step lies before; the secant goes there.
-            length *= down / (down + rise)
-            continue
-        z, gradient = z + length * step, there
-        step, length = -np.linalg.solve(curve, gradient), 1.0
-    if np.abs(gradient).max() < enough:
-        return [float(v) for v in base @ z]
-    raise RuntimeError(f"rates not settled after {rounds} rounds: residual {np.abs(gradient).max():.3g}, enough is {enough:g}")
+        return goal - got + near * z, curve + near * np.eye(len(z))
+
+    z, left = np.zeros(len(goal)), rounds
+    for near in NEAR:
+        gradient, hessian = slope_at(z, near)
+        while np.abs(gradient).max() >= enough:
+            step, length = -np.linalg.solve(hessian, gradient), 1.0
+            down = abs(gradient @ step)
+            while True:
+                if left == 0:
+                    raise RuntimeError(f"rates not settled after {rounds} rounds: residual {np.abs(gradient).max():.3g}, enough is {enough:g}")
+                left -= 1
+                there, curve = slope_at(z + length * step, near)
+                rise = there @ step
+                if rise <= 0.5 * down:
+                    break
+                # Too far: the dual is convex, so its least value lies before. Behind a kink the secant falls short of it, so no less than a tenth.
+                length *= max(down / (down + rise), 0.1)
+            z, gradient, hessian = z + length * step, there, curve
+    return [float(v) for v in base @ z]
 
 
 def members(docs: DataFrame, model: Membership, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

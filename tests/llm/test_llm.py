@@ -293,6 +293,21 @@ def test_mixing_rates_of_targets_out_of_reach(spark):
     assert (r == 0).any() and np.abs(slope[r > 0]).max() < 1e-4 and slope.min() > -1e-4
 
 
+def test_mixing_rates_of_steep_duals(spark):
+    """Few good tokens among coarse posteriors: a secant alone stalls at the dual's kinks."""
+    rng = np.random.default_rng(1)
+    n, parts = 500, np.array([0.0061352, 0.4361083, 0.5577565])
+    score = np.round(rng.normal(size=(n, 3)) * 4) / 2 + np.log(parts) + 1.9 * np.eye(3)[rng.choice(3, size=n, p=parts / parts.sum())]
+    p = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+    t = rng.integers(1, 2000, size=n)
+    members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(n)], "_id bigint, _tokens bigint, _p array<double>")
+    rate = mixing.rate_of(mixing.fit_rates(members, [0.94, 0.03, 0.03]), F.col("_p"))
+    r = np.array([row["r"] for row in members.withColumn("r", rate).orderBy("_id").collect()])
+    w = t / t.sum()
+    slope = p @ np.linalg.pinv((p * w[:, None]).T @ p) @ ((r * w) @ p - [0.94, 0.03, 0.03])
+    assert np.abs(slope[r > 0]).max() < 1e-4 and slope.min() > -1e-4
+
+
 def test_mixing_features_of_other_scripts(spark):
     """Typographic signs and no-break spaces part words; capitals of every script count."""
     text = "\u201cIdiot\u201d\u2014it\u2019s\u00a0na\u00efve, e\u0301t\u00e9\u3002\u4f60\u597d\u3001x1y"
