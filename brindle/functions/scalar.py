@@ -28,6 +28,19 @@ def arithmetic(kind: str) -> dict:
     return {"add": keep(operator.add), "sub": keep(operator.sub), "mul": keep(operator.mul), "div": lambda a, b: divide(a, b, kind)}
 
 
+def common_type(a: str, b: str) -> str:
+    """The type that operands of two numeric types meet in: the wider integer, else double, unless both are float."""
+    if a in INTEGERS and b in INTEGERS:
+        return max(a, b, key=INTEGERS.index)
+    return "float" if a == b == "float" else "double"
+
+
+def mixed_arithmetic(a: str, b: str) -> dict:
+    """The four operators over operands of two numeric types."""
+    kind = common_type(a, b)
+    return {name: lambda x, y, f=f: f(x.cast(kind), y.cast(kind)) for name, f in arithmetic(kind).items()}
+
+
 def compare_sign(a: Column, b) -> Column:
     """-1, 0 or 1; null if either is."""
     b = b if isinstance(b, Column) else F.lit(b)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import COMPARE, INTEGERS, arithmetic, compare_sign, date_shift, shift
+from ..functions.scalar import COMPARE, INTEGERS, arithmetic, common_type, compare_sign, date_shift, mixed_arithmetic, shift
 from ..operators import aggregate, joins
 from ..sources.tables import load, views
 from ..streaming.windows import tumbling_counts
@@ -75,6 +75,30 @@ def arith_sql(name: str) -> str:
     return f"select l_orderkey, l_linenumber, {', '.join(cols)} from {NUMERIC_SQL}"
 
 
+def arith_const(name: str):
+    """A column of one type and a constant of each type."""
+    kind, column, *_ = NUMBERS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cols = []
+        for other, (kind2, _, _, value) in NUMBERS.items():
+            constant = F.expr(f"cast({value} as {kind2})")
+            cols += [f(C(column), constant).alias(f"{op}_{other}") for op, f in mixed_arithmetic(kind, kind2).items()]
+        return numeric(load(spark, sf_dir, "lineitem")).select(*KEYS, *cols)
+
+    return run
+
+
+def arith_const_sql(name: str) -> str:
+    kind, column, *_ = NUMBERS[name]
+    cols = []
+    for other, (kind2, _, _, value) in NUMBERS.items():
+        wide = common_type(kind, kind2)
+        sign = {"add": "+", "sub": "-", "mul": "*", "div": "//" if wide in INTEGERS else "/"}
+        cols += [f"cast(cast({column} as {wide}) {s} cast(cast({value} as {kind2}) as {wide}) as {wide}) as {op}_{other}" for op, s in sign.items()]
+    return f"select l_orderkey, l_linenumber, {', '.join(cols)} from {NUMERIC_SQL}"
+
+
 def compare(name: str, constant: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         left, counts = C(NUMBERS[name][1]), []
@@ -420,10 +444,10 @@ MORE_SQL = {
 def queries() -> dict:
     out = dict(QUERIES)
     for name in NUMBERS:
-        out |= {f"arith_{name}": arith(name), f"cmp_col_col_{name}": compare(name, False), f"cmp_col_const_{name}": compare(name, True)}
+        out |= {f"arith_{name}": arith(name), f"arith_const_{name}": arith_const(name), f"cmp_col_col_{name}": compare(name, False), f"cmp_col_const_{name}": compare(name, True)}
     return out | {name: as_sql(name) for name in SPARK}
 
 
 def oracle_sql() -> dict[str, str]:
-    made = [{f"arith_{n}": arith_sql(n), f"cmp_col_col_{n}": compare_sql(n, False), f"cmp_col_const_{n}": compare_sql(n, True)} for n in NUMBERS]
+    made = [{f"arith_{n}": arith_sql(n), f"arith_const_{n}": arith_const_sql(n), f"cmp_col_col_{n}": compare_sql(n, False), f"cmp_col_const_{n}": compare_sql(n, True)} for n in NUMBERS]
     return reduce(lambda a, b: a | b, made, dict(ORACLE)) | MORE_SQL

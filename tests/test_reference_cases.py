@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions.scalar import COMPARE, arithmetic, compare_sign, date_shift, int_div
+from brindle.functions.scalar import COMPARE, arithmetic, common_type, compare_sign, date_shift, int_div, mixed_arithmetic
 from brindle.operators import aggregate, joins
 from brindle.plans import catalog, inspect
 from brindle.sources import tables
@@ -65,6 +65,21 @@ def test_numeric_operators(spark, kind):
         assert [r[0] for r in df.select(op(F.col("a"), F.col("b"))).collect()] == [None if None in v else op(*v) for v in values]
 
 
+KINDS = ["smallint", "int", "bigint", "float", "double"]
+
+
+@pytest.mark.parametrize("a", KINDS)
+def test_mixed_operators(spark, a):
+    """Operands of two types, either way round, with a null: the result's type is the common one."""
+    for b in KINDS:
+        wide = common_type(a, b)
+        assert wide == common_type(b, a) and (wide in (a, b) or wide == "double")
+        cols = [f(F.lit(x).cast(a), F.lit(y).cast(b)).alias(f"{name}_{k}") for k, (x, y) in enumerate([(7, -2), (None, 2)]) for name, f in mixed_arithmetic(a, b).items()]
+        out = spark.range(1).select(*cols)
+        assert {k for _, k in out.dtypes} == {wide}
+        assert tuple(out.first()) == (5, 9, -14, -3.5 if wide in ("float", "double") else -3, None, None, None, None)
+
+
 @pytest.mark.parametrize("expression", ["32767S + 1S", "1 div 0", "2147483647 + 1"])
 def test_overflow_and_division_by_zero_raise(spark, expression):
     with pytest.raises(Exception, match="OVERFLOW|DIVIDE_BY_ZERO"):
