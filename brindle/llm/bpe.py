@@ -4,7 +4,8 @@ A word's tokens are first guessed by greedy longest match. The guess is the true
 token is the encoding of its own bytes and every two neighbours are compatible, which means that no merge across
 their boundary would have come first. All neighbour pairs of a piece are tested at once against sorted arrays of
 known pairs; pairs not met before are decided once from the merge ranks. Only words with a failing pair go through
-exact merging. Special strings become their own ids; decoding joins the bytes of all ids, special ones included.
+exact merging. Guesses and merges of words up to ``SHORT`` bytes run as array operations over all such words of a
+piece, one step of every word at a time; longer words, which are rare, go one by one. Special strings become their own ids; decoding joins the bytes of all ids, special ones included.
 
 Defined cases: a null text counts as empty and has no tokens; texts of any length are taken whole (a word without
 spaces merges in n log n); rows are independent.
@@ -12,6 +13,7 @@ spaces merges in n log n); rows are independent.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -28,6 +30,56 @@ from .shared import load
 NONE = 1 << 60
 #: Entries that a worker's memory of encoded chunks holds before it starts afresh.
 MEMORY = 250_000
+#: Ids that are decoded at once, unless one text has more.
+DECODED = 1 << 18
+#: Signs that, alone after a run of letters, are a word each.
+PLAIN = frozenset(",.;:!?")
+#: Bytes of a word that fit two 8-byte lanes.
+SHORT = 16
+
+
+class Lookup:
+    """Row numbers of keys, each one or more unsigned 64-bit columns, by open addressing in arrays; -1 where absent."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = [c.astype(np.uint64) for c in columns]
+        n = len(columns[0])
+        self.bits = max(4, (4 * n).bit_length())
+        self.rows = np.full(1 << self.bits, -1, dtype=np.int64)
+        slot, left = self._slot(self.columns), np.arange(n)
+        while len(left):
+            spot = slot[left]
+            _, first = np.unique(spot, return_index=True)
+            won = first[self.rows[spot[first]] < 0]
+            self.rows[spot[won]] = left[won]
+            left = np.delete(left, won)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, columns: list[np.ndarray]) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = columns[0] * K.P1
+            for c in columns[1:]:
+                h = (K.rotl(h, 31) ^ c) * K.P2
+            return ((h ^ (h >> K.U(29))) * K.P3 >> K.U(64 - self.bits)).astype(np.int64)
+
+    def find(self, *columns: np.ndarray) -> np.ndarray:
+        columns = [c.astype(np.uint64, copy=False) for c in columns]
+        slot = self._slot(columns)
+        out = self.rows[slot]
+        same = out >= 0
+        for mine, c in zip(self.columns, columns, strict=True):
+            same &= mine[out] == c
+        left = np.flatnonzero(~same & (out >= 0))
+        out[~same] = -1
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            row = self.rows[slot[left]]
+            same = row >= 0
+            for mine, c in zip(self.columns, columns, strict=True):
+                same &= mine[row] == c[left]
+            out[left[same]] = row[same]
+            left = left[~same & (row >= 0)]
+        return out
 
 
 class Seen:
@@ -182,6 +234,24 @@ class ByteBPE:
         self.memory: dict[str, bytes] = {}
         self.seen = Seen()
         self.exact = 0
+        self.sizes = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        # The same as arrays. A short token is two lanes of bytes and a length.
+        short = [(t, i) for t, i in self.guess.items() if len(t) <= SHORT]
+        padded = np.frombuffer(b"".join(t.ljust(SHORT, b"\0") for t, _ in short), dtype="<u8").reshape(-1, 2)
+        self.tokens = Lookup(padded[:, 0], padded[:, 1], np.array([len(t) for t, _ in short]))
+        self.token_ids = np.array([i for _, i in short], dtype=np.int32)
+        self.reach = np.ones(1 << 16, dtype=np.int64)
+        for t, n in self.longest.items():
+            if len(t) == 2:
+                self.reach[t[0] | t[1] << 8] = min(n, SHORT)
+        self.leaves = np.array(self.leaf, dtype=np.int32)
+        ranked = np.array([(a << 20 | b, rank, m) for (a, b), (rank, m) in self.merges.ranks.items()], dtype=np.int64).reshape(-1, 3)
+        self.mergeable = Lookup(ranked[:, 0])
+        self.merge_rank = np.append(ranked[:, 1], NONE)  # the last one stands for pairs that don't merge
+        self.merged = np.zeros(int(ranked[:, 1].max(initial=0)) + 1, dtype=np.int32)
+        self.merged[ranked[:, 1]] = ranked[:, 2]
 
     def speculate(self, word: bytes) -> list[int]:
         out, i, n, guess, longest = [], 0, len(word), self.guess, self.longest
@@ -195,20 +265,108 @@ class ByteBPE:
                     break
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        found = [self.speculate(w) for w in words]
-        sizes = np.array([len(f) for f in found], dtype=np.int64)
-        ids = np.array([t for f in found for t in f], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), sizes)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        for i in range(0, len(short), 1 << 15):
+            part = short[i : i + (1 << 15)]
+            for k, ids in zip(part, self._short_words([words[k] for k in part]), strict=True):
+                out[k] = ids
+        long = [k for k, w in enumerate(words) if len(w) > SHORT]
+        if long:
+            found = [self.speculate(words[k]) for k in long]
+            sizes = np.array([len(f) for f in found], dtype=np.int64)
+            ok = self._verify(np.array([t for f in found for t in f], dtype=np.int64), np.repeat(np.arange(len(long)), sizes), len(long))
+            for k, ids, fits in zip(long, found, ok.tolist(), strict=True):
+                if not fits:
+                    self.exact += 1
+                    ids = self.merges.merge([self.leaf[c] for c in words[k]])
+                out[k] = np.array(ids, dtype="<u4").tobytes()
+        return out
+
+    def _verify(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Of n words, whether all neighbours among a word's ids are compatible."""
         beside = np.flatnonzero(owner[1:] == owner[:-1])
         codes = ids[beside] << 20 | ids[beside + 1]
         self._learn(np.unique(codes))
-        ok = self.fits[np.searchsorted(self.pairs, codes)] if len(codes) else np.zeros(0, dtype=bool)
-        for w in np.unique(owner[beside[~ok]]):
-            self.exact += 1
-            found[w] = self.merges.merge([self.leaf[c] for c in words[w]])
-        return found
+        ok = np.ones(n, dtype=bool)
+        if len(codes):
+            ok[owner[beside[~self.fits[np.searchsorted(self.pairs, codes)]]]] = False
+        return ok
+
+    def _short_words(self, words: list[bytes]) -> list[bytes]:
+        n, size = len(words), np.array([len(w) for w in words], dtype=np.int64)
+        raw = np.frombuffer(b"".join([w.ljust(SHORT, b"\0") for w in words]), dtype=np.uint8).reshape(n, SHORT)
+        ids, counts = self._speculate_short(raw, size)
+        inside = np.arange(SHORT) < counts[:, None]
+        ok = self._verify(ids[inside].astype(np.int64), np.repeat(np.arange(n), counts), n)
+        fails = np.flatnonzero(~ok)
+        if len(fails):
+            self.exact += len(fails)
+            ids[fails], counts[fails] = self._merge_rows(self.leaves[raw[fails]], size[fails])
+            inside = np.arange(SHORT) < counts[:, None]
+        blob, ends = ids[inside].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _speculate_short(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words side by side: ids in rows of SHORT, and how many count."""
+        n = len(raw)
+        flat = np.zeros((n, SHORT + 16), dtype=np.uint8)
+        flat[:, :SHORT] = raw
+        stride = SHORT + 9
+        lanes = np.stack([flat[:, k : k + 8].copy().view("<u8")[:, 0] for k in range(stride)], axis=1).ravel()
+        masks = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+        ids, counts = np.zeros((n, SHORT), dtype=np.int32), np.zeros(n, dtype=np.int64)
+        at = np.zeros(n, dtype=np.int64)
+        row = np.flatnonzero(size > 0)
+        while len(row):
+            base = row * stride + at[row]
+            near, far = lanes[base], lanes[base + 8]
+            rest = size[row] - at[row]
+            top = np.minimum(np.where(rest > 1, self.reach[(near & K.U(0xFFFF)).astype(np.int64)], 1), rest)
+            token, length = np.full(len(row), -1, dtype=np.int64), np.zeros(len(row), dtype=np.int64)
+            for k in range(int(top.max()), 0, -1):
+                todo = np.flatnonzero((top >= k) & (token < 0))
+                if len(todo):
+                    got = self.tokens.find(near[todo] & masks[min(k, 8)], far[todo] & masks[max(k - 8, 0)], np.full(len(todo), k, dtype=np.uint64))
+                    token[todo] = got
+                    length[todo[got >= 0]] = k
+            ids[row, counts[row]] = self.token_ids[token]
+            counts[row] += 1
+            at[row] += length
+            row = row[at[row] < size[row]]
+        return ids, counts
+
+    def _merge_rows(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of all rows side by side; each step merges the lowest rank, leftmost first, of every row."""
+        n, width = ids.shape
+        out, counts = ids.astype(np.int64), size.copy()
+        pair = out[:, :-1] << 20 | out[:, 1:]
+        rank = self.merge_rank[self.mergeable.find(pair.ravel())].reshape(n, width - 1)
+        rank[np.arange(1, width) >= counts[:, None]] = NONE
+        row, place = np.arange(n), np.arange(width)
+        work, ranks = out, rank
+        while True:
+            i = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(row)), i]
+            live = low < NONE
+            out[row[~live]] = work[~live]
+            row, work, ranks, i, low = row[live], work[live], ranks[live], i[live], low[live]
+            if not len(row):
+                return out.astype(np.int32), counts
+            counts[row] -= 1
+            each = np.arange(len(row))
+            work[each, i] = self.merged[low]
+            moved = place[:-1] > i[:, None]
+            work[:, :-1] = np.where(moved, work[:, 1:], work[:, :-1])
+            ranks[:, :-1] = np.where(moved[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NONE
+            for j in (i, i - 1):
+                on = np.flatnonzero((j >= 0) & (j + 1 < counts[row]))
+                ranks[on, j[on]] = self.merge_rank[self.mergeable.find(work[on, j[on]] << 20 | work[on, j[on] + 1])]
+            end = np.flatnonzero(i + 1 >= counts[row])
+            ranks[end, np.minimum(i[end], width - 2)] = NONE
 
     def _learn(self, codes: np.ndarray) -> None:
         at = np.searchsorted(self.pairs, codes)
@@ -224,7 +382,7 @@ class ByteBPE:
         self.pairs, self.fits = pairs[order], np.concatenate([self.fits, fits])[order]
 
     def chunks(self, text: str) -> list[str]:
-        """Parts of a text that are encoded each on its own; all but the first take a space in front."""
+        """Parts of a text that are encoded each on its own: all but the first lack the space in front, and have none inside."""
         return [text] if self.WIDE.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -235,16 +393,21 @@ class ByteBPE:
             at = 0
             for m in self.cut.finditer(text) if self.cut else ():
                 self._add(todo, text[at : m.start()])
-                todo.append(f"\0{m.group()}")
+                todo.append(f"  {m.group()}")
                 at = m.end()
             self._add(todo, text[at:] if at else text)
             plan.append(todo)
+        if len(self.memory) > MEMORY:
+            self.memory.clear()
         memory = self.memory
-        fresh = {c for todo in plan for c in todo if c not in memory}
-        if len(memory) > MEMORY:
-            memory.clear()
-            fresh = {c for todo in plan for c in todo}
-        self._remember(sorted(fresh))
+        fresh = set().union(*plan).difference(memory)
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles arise here, and looking for them among this many small objects takes longer than the work
+        try:
+            self._remember(fresh)
+        finally:
+            if collecting:
+                gc.enable()
         out = [b"".join(map(memory.__getitem__, todo)) for todo in plan]
         for c in fresh:
             if not self.seen.before(c):
@@ -252,27 +415,57 @@ class ByteBPE:
         return out
 
     def _add(self, todo: list[str], text: str) -> None:
+        """A first part is marked by one space, a special string (encode does it) by two; other parts hold none."""
         if text:
-            first, *rest = self.chunks(text)
-            todo.append(f"\1{first}")
-            todo += [f" {c}" for c in rest]
-
-    def _remember(self, chunks: list[str]) -> None:
+            parts = self.chunks(text)
+            parts[0] = f" {parts[0]}"
+            todo += parts
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of one chunk."""
+        first = chunk[0] == " "
+        body = chunk[1:] if first else chunk
+        if body.isalpha():  # the usual cases without the pattern
+            return [body if first else f" {body}"]
+        if body[-1:] in PLAIN and body[:-1].isalpha():
+            return [body[:-1] if first else f" {body[:-1]}", body[-1]]
+        return self.WORDS.findall(body if first else f" {body}")
+
+    def _remember(self, chunks: set[str]) -> None:
         index: dict[str, int] = {}
-        split = []
+        alone, whole, several, parts = [], [], [], []
         for c in chunks:
-            if c[0] == "\0":
+            if c[:2] == "  " and c[2:] in self.special:
+                self.memory[c] = np.array([self.special[c[2:]]], dtype="<u4").tobytes()
                 continue
-            split.append((c, [index.setdefault(w, len(index)) for w in self.WORDS.findall(c[1:] if c[0] == "\1" else c)]))
-        ids = [np.array(t, dtype="<u4").tobytes() for t in self.encode_words([w.encode() for w in index])]
-        for c, words in split:
+            words = self.words(c)
+            if len(words) == 1:
+                alone.append(c)
+                whole.append(index.setdefault(words[0], len(index)))
+            else:
+                several.append(c)
+                parts.append([index.setdefault(w, len(index)) for w in words])
+        ids = self.encode_words([w.encode() for w in index])
+        self.memory.update(zip(alone, map(ids.__getitem__, whole)))
+        for c, words in zip(several, parts, strict=True):
             self.memory[c] = b"".join([ids[w] for w in words])
-        for c in chunks:
-            if c[0] == "\0":
-                self.memory[c] = np.array([self.special[c[1:]]], dtype="<u4").tobytes()
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """Bytes that each row of ids stands for."""
+        sizes = np.cumsum([len(i) // 4 for i in ids])
+        if len(ids) > 1 and sizes[-1] > DECODED:  # in parts, so that the arrays stay small
+            half = min(max(1, int(np.searchsorted(sizes, sizes[-1] // 2))), len(ids) - 1)
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        every = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
+        size = self.sizes[every]
+        ends = np.cumsum(size)
+        raw = self.spelled[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[every] - (ends - size), size)].tobytes()
+        cuts = np.append(0, ends)[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+def text_of(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
 
 
 _OPEN: dict[str, ByteBPE] = {}
@@ -308,7 +501,7 @@ def encode(docs: DataFrame, path: str | None = None, text_column: str = "text")
                 ids = bpe.encode(texts)
                 offsets = pa.array(np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int64).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                extra = [pa.array([len(i) // 4 for i in ids], pa.int64()), lists, pa.array([bpe.decode(i) == t for i, t in zip(ids, texts, strict=True)])]
+                extra = [pa.array([len(i) // 4 for i in ids], pa.int64()), lists, pa.array([d == t.encode() for d, t in zip(bpe.decode(ids), texts, strict=True)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, "n_tokens", "token_ids", "round_trip"])
 
     return docs.mapInArrow(run, schema)
@@ -323,7 +516,8 @@ def decode(tokens: DataFrame, path: str | None = None, ids_column: str = "token_
     def run(batches):
         bpe = tokenizer(path)
         for batch in batches:
-            out = [bpe.decode(np.array(ids or [], dtype="<u4").tobytes()) for ids in batch.column(ids_column).to_pylist()]
+            rows = [np.array(ids or [], dtype="<u4").tobytes() for ids in batch.column(ids_column).to_pylist()]
+            out = [text_of(raw) for raw in bpe.decode(rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, schema)
@@ -339,7 +533,7 @@ def digests(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
         for batch in batches:
             for piece in K.pieces(batch):
                 ids = bpe.encode([x or "" for x in piece.column("text").to_pylist()])
-                cols = [[len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]]
+                cols = [[len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(text_of(raw).encode()).hexdigest() for raw in bpe.decode(ids)]]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

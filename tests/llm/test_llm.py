@@ -478,8 +478,24 @@ def test_bpe_equals_the_library():
     ids = [x.ids for x in other.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time from memory
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == ids
-    assert [own.decode(np.array(x, "<u4").tobytes()) for x in ids] == [other.decode(x, skip_special_tokens=False) for x in ids]
-    assert own.decode(np.array([own.ids[b"\xe4"]], "<u4").tobytes()) == other.decode([own.ids[b"\xe4"]])
+    raw = own.decode([np.array(x, "<u4").tobytes() for x in ids])
+    assert [bpe.text_of(x) for x in raw] == [other.decode(x, skip_special_tokens=False) for x in ids]
+    lone = np.array([own.ids[b"\xe4"]], "<u4").tobytes()
+    assert bpe.text_of(own.decode([lone])[0]) == other.decode([own.ids[b"\xe4"]])
+    many = [lone * k for k in (bpe.DECODED, 0, 3, bpe.DECODED + 1, 0)]
+    assert list(map(len, own.decode(many))) == [len(x) // 4 for x in many] and own.decode([]) == []
+
+
+def test_bpe_short_words_step_by_step():
+    """Guesses and merges in arrays against one word at a time, at lengths around the lanes' and with zero bytes."""
+    own, rng = bpe.ByteBPE(bpe.default_path()), random.Random(12)
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 20))).encode() for letters in (" theraino", " \0ae0", "éßа中x ") for _ in range(1500)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_words([*made, b""])]
+    assert got == [own.merges.merge([own.leaf[c] for c in w]) for w in [*made, b""]]
+    short = [w for w in made if len(w) <= bpe.SHORT]
+    raw = np.frombuffer(b"".join(w.ljust(bpe.SHORT, b"\0") for w in short), np.uint8).reshape(-1, bpe.SHORT)
+    ids, counts = own._speculate_short(raw, np.array([len(w) for w in short]))
+    assert [row[:n].tolist() for row, n in zip(ids, counts)] == [own.speculate(w) for w in short]
 
 
 def test_bpe_frames(spark):
