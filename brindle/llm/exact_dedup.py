@@ -1,11 +1,12 @@
 """Exact deduplication: 128-bit content hash groups, smallest id stays, bytes compared inside groups.
 
-Texts are equal when identical after each run of ASCII white space becomes one space. Rows are first grouped
-by a 128-bit hash of that form. Where a group has two rows or more, a second grouping by (hash, text) compares
-the bytes. A hash that turns out to stand for several texts is split through that second grouping.
+Texts are equal when identical after each run of ASCII white space becomes one space. One aggregate groups by the
+128-bit hash of that form and, inside a hash, by the form's bytes, so a hash that stands for several texts splits there.
+It combines before its shuffle, so a group of any size sends one row from each input partition.
 
-Not yet safe for a hot group: the joins on the hash (of all rows with their group, and, where the repeated hashes are too
-many to broadcast, of the texts that are compared) bring all rows of one hash to one task, which Spark doesn't split.
+Every row then gets its group's verdict by (hash, sha256, salt). The salt is the number of the row's input partition
+modulo ``SALTS``, and the groups' side is spread only over the salts at which a group has rows. So the rows of a hot
+text meet in up to ``SALTS`` tasks, and no join moves a text.
 
 Defined cases: a null text counts as empty; empty texts are copies of each other; rows that repeat both id
 and text all count in ``group_size`` and share one verdict; a null id never wins over another id, and
@@ -17,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE_RUN, load, text_or_empty
+from .shared import cut, load, text_or_empty, without
+
+SALTS = 256
 
 
 def normal_form(text: Column) -> Column:
-    return F.regexp_replace(text, WHITE_RUN, " ")
+    # Single spaces are runs too, but already what they become.
+    return F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
 def content_hash(form: Column) -> Column:
@@ -30,28 +34,21 @@ def content_hash(form: Column) -> Column:
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hashed=content_hash) -> DataFrame:
-    """One row per document: _id, keep_id, group_size, text_sha256, _hash.
+    """One row per document: _id, keep_id, group_size, text_sha256.
 
     hashed: maps the normal form to the grouping key; tests pass a poor one to force collisions.
     """
-    form = normal_form(text_or_empty(text_column))
-    rows = docs.select(F.col(id_column).alias("_id"), form.alias("_form"))
-    slim = rows.select("_id", hashed(F.col("_form")).alias("_hash"), F.sha2(F.col("_form"), 256).alias("text_sha256"))
-    groups = slim.groupBy("_hash").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    several = groups.filter("_rows > 1").select("_hash")
-    alike = rows.withColumn("_hash", hashed(F.col("_form"))).join(several, "_hash", "left_semi")
-    by_text = alike.groupBy("_hash", "_form").agg(F.min("_id").alias("_text_first"), F.count(F.lit(1)).alias("_text_rows"))
-    # One row per hash whose texts differ; with a sound hash there is none.
-    clash = by_text.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("_texts"),
-        F.collect_list(F.struct(F.sha2(F.col("_form"), 256).alias("sha"), F.col("_text_first").alias("first"), F.col("_text_rows").alias("n"))).alias("_split"),
-    ).filter("_texts > 1").select("_hash", "_split")
-    split = clash.select("_hash", F.explode("_split").alias("s")).select("_hash", F.col("s.sha").alias("text_sha256"), F.col("s.first").alias("_text_first"), F.col("s.n").alias("_text_rows"))
-    return (
-        slim.join(groups, "_hash", "left")
-        .join(split, ["_hash", "text_sha256"], "left")
-        .select("_id", "_hash", "text_sha256", F.coalesce("_text_first", "_first").alias("keep_id"), F.coalesce("_text_rows", "_rows").alias("group_size"))
-    )
+    rows = docs.select(F.col(id_column).alias("_id"), normal_form(text_or_empty(text_column)).alias("_form"))
+    rows = rows.withColumn("_hash", hashed(F.col("_form")))
+    sha = F.sha2(F.col("_form"), 256).alias("text_sha256")
+    texts = rows.groupBy("_hash", "_form").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    several = texts.filter("_rows > 1").select("_hash", sha, "_first", "_rows")
+    slim = cut(rows.select("_id", "_hash", sha, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt")))
+    keys = ["_hash", "text_sha256"]
+    spread = cut(slim.select(*keys, "_salt").distinct().join(several, keys))
+    found = slim.join(spread, [*keys, "_salt"], "left")
+    alone = F.col("_rows").isNull()
+    return found.select("_id", "text_sha256", F.when(alone, F.col("_id")).otherwise(F.col("_first")).alias("keep_id"), F.coalesce("_rows", F.lit(1)).alias("group_size"))
 
 
 def label(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -64,7 +61,7 @@ def label(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     gone = classes(docs, id_column, text_column).filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id")
-    return docs.join(gone, docs[id_column] == gone["_id"], "left_anti")
+    return without(docs, gone, id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
