@@ -6,14 +6,15 @@ Fingerprints are 64 bits over XXH64 hashes of word shingles. Two fingerprints li
 1. Bit co-occurrence counts over all distinct fingerprints (a 64 x 64 matrix) give correlations; correlated bits
    go into the same part, so that the parts are as independent as they can be.
 2. Candidate counts per part and threshold are estimated from the exact histogram of part values; dynamic
-   programming picks the number of parts and unequal thresholds T with sum(T) = max_bits - parts + 1 (a part with
-   threshold -1 is neither indexed nor probed).
-3. Every fingerprint is indexed under its part values and probes all values within T of its own; the probe join
-   verifies the whole distance as a join condition.
-4. Part values that index more than ``heavy`` fingerprints leave the join. All fingerprints that are indexed under
-   or probe such a value take an exact way without pairs: for ``max_bits`` = 2, fingerprints link if and only if
-   they share a point within one bit of both, or a chain of such; each emits its 65 such points, a point's members
-   are all within two bits of each other, and each links to the smallest member. Groups hold 65 members at most.
+   programming picks the number of parts and unequal thresholds T with sum(T) >= max_bits - parts + 1. A part with
+   threshold -1 is left out. Thresholds are even: two fingerprints within T bits on a part meet at a value that is within
+   T / 2 of both, so both sides probe balls of half the radius, and a probe row is the same for either side.
+3. Fingerprints that probe the same value meet in one group, where the whole distance is verified. A small group gives
+   all its links; in one of over ``FEW`` members each member is compared with those not reached yet, which gives links enough
+   to join what is within reach, one less than members at most, and never all pairs.
+4. Values that over ``crowd`` fingerprints probe don't go into one task. Their members are first linked to a few pivots of the
+   value; then only members outside a value's most frequent component are joined with the value's members, and only across
+   components. These joins read written rows, so that Spark can split a value that holds most of them.
 5. Links become components by alternating large-star and small-star steps over tables; nothing is collected.
 
 Defined cases: null and wordless texts have fingerprint zero and link to each other; fewer words than a shingle
@@ -23,15 +24,23 @@ a row without an id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import cut, load
+from .shared import cut, load, without
 
 BITS = 64
+#: Members of a group of which all pairs are compared; fingerprints that probe one value in one task; rows that a worker gathers before it compares.
+FEW, CROWD, GATHER = 16, 20_000, 1 << 18
+#: Pivots of a crowded value.
+PIVOTS = 8
+#: Largest threshold of a part: its probes are a ball of half that radius.
+MAX_THRESHOLD = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -143,21 +152,21 @@ def ball(part: list[int], radius: int) -> list[int]:
     return [mask_of(m) for m in out]
 
 
-def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds, one of -1, 0, 1, ... for each part, that sum to total at the least cost; costs[i][t + 1]."""
+def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
+    """One threshold of each part's (threshold: cost) that sum to total or more at the least cost."""
     best = {0: (0.0, [])}
-    for c in costs:
+    for options in costs:
         step: dict[int, tuple[float, list[int]]] = {}
         for s, (cost, chosen) in best.items():
-            for t, extra in enumerate(c, start=-1):
-                if (s + t) not in step or cost + extra < step[s + t][0]:
+            for t, extra in options.items():
+                if s + t not in step or cost + extra < step[s + t][0]:
                     step[s + t] = (cost + extra, [*chosen, t])
         best = step
-    return best[total]
+    return min(found for s, found in best.items() if s >= total)
 
 
-def plan(points: DataFrame, max_bits: int, part_counts=(2, 3), probe_cost: float = 4.0) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each part that is used."""
+def plan(points: DataFrame, max_bits: int, part_counts=(2, 3, 4), probe_cost: float = 100.0) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each part that is used. probe_cost: a probe row's cost in compared pairs."""
     correlation, n = bit_statistics(points)
     options = {m: group_bits(correlation, m) for m in part_counts}
     keys = [F.struct(F.lit(m * 100 + i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(bits))).alias("value")) for m, parts in options.items() for i, bits in enumerate(parts)]
@@ -167,51 +176,121 @@ def plan(points: DataFrame, max_bits: int, part_counts=(2, 3), probe_cost: float
     for m, parts in options.items():
         costs = []
         for i, bits in enumerate(parts):
-            pairs = squares.get(m * 100 + i, 0.0)
-            sizes = [len(ball(bits, t)) for t in range(max_bits + 1)]
-            costs.append([0.0, *(probe_cost * n * k + pairs * k for k in sizes)])
-        cost, chosen = allocate(costs, max_bits - m + 1)
-        ranked.append((cost, m, [(bits, t) for bits, t in zip(parts, chosen, strict=True) if t >= 0]))
+            found = {-1: 0.0}
+            for t in range(0, min(max_bits, MAX_THRESHOLD) + 1, 2):
+                probes = sum(math.comb(len(bits), r) for r in range(t // 2 + 1))
+                found[t] = probe_cost * n * probes + squares.get(m * 100 + i, 0.0) * probes * probes / 2
+            costs.append(found)
+        if sum(max(c) for c in costs) >= max_bits - m + 1:
+            cost, chosen = allocate(costs, max_bits - m + 1)
+            ranked.append((cost, m, [(bits, t) for bits, t in zip(parts, chosen, strict=True) if t >= 0]))
+    if not ranked:
+        raise ValueError(f"no plan for {max_bits} bits in {part_counts} parts")
     return min(ranked)[2]
 
 
 # -- linking ----------------------------------------------------------------------------------------------------
 
 
-def keyed(points: DataFrame, parts: list[tuple[list[int], int]], probes: bool) -> DataFrame:
-    """fp, part, value: what a fingerprint is indexed under, or all that it probes."""
-    keys: list[Column] = []
-    for i, (bits, t) in enumerate(parts):
-        own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
-        keys += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(m)).alias("value")) for m in (ball(bits, t) if probes else [0])]
-    return points.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.part", "k.value")
-
+def keyed(points: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """key, fp: a hash of each part and value that a fingerprint probes. Keys that clash only bring more to verify."""
 
-def links(points: DataFrame, max_bits: int = 2, heavy: int = 64) -> DataFrame:
+    def probes(i: int, bits: list[int], t: int) -> Column:
+        own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
+        return F.transform(F.array(*[F.lit(m) for m in ball(bits, t // 2)]), lambda m: F.xxhash64(F.lit(i), own.bitwiseXOR(m)))
+
+    return points.select(F.explode(F.concat(*[probes(i, bits, t) for i, (bits, t) in enumerate(parts)])).alias("key"), "fp")
+
+
+def spanning(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of one group: each member reaches what no earlier one has reached."""
+    left, ends = np.arange(1, len(fp)), []
+    waiting = [0]
+    while len(left):
+        if not waiting:
+            waiting.append(int(left[0]))
+            left = left[1:]
+            continue
+        at = waiting.pop()
+        near = np.bitwise_count(fp[left] ^ fp[at]) <= max_bits
+        if near.any():
+            reached = left[near]
+            left = left[~near]
+            ends.append((np.full(len(reached), fp[at]), fp[reached]))
+            waiting += reached.tolist()
+    return tuple(np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (fp[:0], fp[:0])
+
+
+def group_links(key: np.ndarray, fp: np.ndarray, max_bits: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Links a < b inside groups of equal keys; rows come sorted by key."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    a, b = [fp[:0]], [fp[:0]]
+    for k in np.unique(sizes[(sizes > 1) & (sizes <= few)]).tolist():
+        rows = fp[starts[sizes == k][:, None] + np.arange(k)]
+        for j in range(1, k):
+            near = np.bitwise_count(rows[:, j:] ^ rows[:, :-j]) <= max_bits
+            a.append(rows[:, :-j][near])
+            b.append(rows[:, j:][near])
+    for at, k in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
+        x, y = spanning(fp[at : at + k], max_bits)
+        a.append(x)
+        b.append(y)
+    x, y = (np.concatenate(v).view(np.int64) for v in (a, b))
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
+
+
+def links(points: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """a, b with a < b: links between distinct fingerprints, enough of them to join what is within reach."""
-    if max_bits != 2:
-        raise ValueError("the exact way for heavy values is for max_bits = 2")
-    parts = plan(points, max_bits)
-    symmetric = all(t == 0 for _, t in parts)
-    index = keyed(points, parts, probes=False)
-    crowded = cut(index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("part", "value"))
-    probe = index if symmetric else keyed(points, parts, probes=True)
+    rows = keyed(points, plan(points, max_bits))
+    crowded = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"))
     crowds = not crowded.isEmpty()
-    light = index.join(crowded, ["part", "value"], "left_anti") if crowds else index
-    x, y = light.select("part", "value", F.col("fp").alias("a")), (light if symmetric else probe).select("part", "value", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    found = x.join(y, (x["part"] == y["part"]) & (x["value"] == y["value"]) & ((x["a"] < y["b"]) if symmetric else (x["a"] != y["b"])) & near)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if crowds:
-        rest = index.join(crowded, ["part", "value"], "left_semi").select("fp")
-        if not symmetric:
-            rest = rest.union(probe.join(crowded, ["part", "value"], "left_semi").select("fp"))
-        around = [F.col("fp").bitwiseXOR(F.lit(m)) for m in ball(list(range(BITS)), 1)]
-        points_near = rest.distinct().select("fp", F.explode(F.array(*around)).alias("point"))
-        least = points_near.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).filter("a < last").select("point", "a")
-        star = points_near.join(least, "point").filter("a < fp").select("a", F.col("fp").alias("b"))
-        found = found.unionByName(star)
-    return found.distinct()
+    calm = rows.join(crowded, "key", "left_anti") if crowds else rows
+
+    def run(batches):
+        keys, fps, n = [], [], 0
+
+        def compare(to: int):
+            key, fp = np.concatenate(keys), np.concatenate(fps)
+            a, b = group_links(key[:to], fp[:to].view(np.uint64), max_bits)
+            keys[:], fps[:] = [key[to:]], [fp[to:]]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
+            fps.append(batch.column("fp").to_numpy(zero_copy_only=False))
+            n += batch.num_rows
+            if n >= GATHER:  # all groups but the last one, which may go on
+                to = n - int((np.concatenate(keys)[::-1] == keys[-1][-1]).argmin() or n)
+                if to > 0:
+                    yield compare(to)
+                    n -= to
+        if n:
+            yield compare(n)
+
+    found = calm.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return crowd_links(cut(found), cut(rows.join(crowded, "key", "left_semi")), max_bits) if crowds else found
+
+
+def crowd_links(found: DataFrame, members: DataFrame, max_bits: int) -> DataFrame:
+    """The links found so far, and those inside crowded values (members: key, fp) that join more."""
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    firsts = F.array(*[F.min_by("fp", F.struct(F.xxhash64(F.lit(s), "fp"), "fp")) for s in range(PIVOTS)])
+    pivots = cut(members.groupBy("key").agg(firsts.alias("pivots")))
+    star = members.join(pivots, "key").select("fp", F.get(F.filter("pivots", lambda p: near(p, F.col("fp"))), F.lit(0)).alias("pivot")).filter("fp <> pivot")
+    found = cut(found.union(star.select(*ordered(F.col("fp"), F.col("pivot")))).distinct())
+    roots = components(found)
+    named = cut(members.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root")))
+    usual = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("usual"))
+    rare = cut(named.join(cut(usual), "key").filter("root <> usual").select("key", F.col("fp").alias("x"), F.col("root").alias("x_root")))
+    across = rare.join(named, "key").filter((F.col("root") != F.col("x_root")) & near(F.col("x"), F.col("fp")))
+    across = across.groupBy("x", "root").agg(F.min("fp").alias("fp"))
+    return found.union(across.select(*ordered(F.col("x"), F.col("fp")))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -235,11 +314,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def label(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_per_shingle: int = 3, max_bits: int = 2, heavy: int = 64) -> DataFrame:
+def label(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_per_shingle: int = 3, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     rows = cut(fingerprints(docs, id_column, text_column, words_per_shingle))
     points = cut(rows.groupBy("fp").agg(F.min("_id").alias("first")))
-    found = components(links(points.select("fp"), max_bits, heavy))
+    found = components(links(points.select("fp"), max_bits, crowd))
     rooted = points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_point = rooted.join(least, "root").select("fp", "component_id")
@@ -248,8 +327,8 @@ def label(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The first document of each component, with all its columns."""
-    gone = label(docs, id_column, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    gone = label(docs, id_column, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return without(docs, gone, id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,14 +59,14 @@ def test_xxh64_and_words():
 # -- 1 ----------------------------------------------------------------------------------------------------------
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, k=3):
     w = (text or "").encode().translate(LOWER).split()
-    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    shingles = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
     h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)) if h else 0
 
 
-def slow_components(prints):
+def slow_components(prints, max_bits=2):
     ids = sorted(prints, key=lambda i: (i is None, i))
     root = {i: i for i in ids}
 
@@ -76,7 +76,7 @@ def slow_components(prints):
         return i
 
     for a, b in itertools.combinations(ids, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2:
+        if (prints[a] ^ prints[b]).bit_count() <= max_bits:
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -94,32 +94,64 @@ def test_simhash_fingerprints(spark):
     assert simhash.label(frame(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("heavy", [64, 2])
-def test_simhash_links_of_dense_groups(spark, heavy):
-    """Clusters of close fingerprints, chains among them; a low limit sends nearly all through the exact way."""
+@pytest.mark.parametrize(("max_bits", "crowd"), [(2, 20_000), (2, 2), (8, 20_000), (8, 12), (5, 2)])
+def test_simhash_links_of_dense_groups(spark, max_bits, crowd):
+    """Clusters of close fingerprints, chains among them, and a dense cloud; a low limit sends nearly all through the crowd's way."""
     rng = random.Random(3)
     points = set()
     for _ in range(12):
         p = rng.getrandbits(64)
         for _ in range(25):
             points.add(p)
-            for b in rng.sample(range(64), rng.randrange(1, 3)):
+            for b in rng.sample(range(64), rng.randrange(1, max_bits + 1)):
                 p ^= 1 << b
+    centre = rng.getrandbits(64)
+    points |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(max_bits + 2))) for _ in range(150)}
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in points]
     df = spark.createDataFrame(signed, "fp bigint")
-    edges = simhash.links(df, 2, heavy)
+    edges = simhash.links(df, max_bits, crowd)
     found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    want = slow_components({p: p for p in points})
+    want = slow_components({p: p for p in points}, max_bits)
     groups = collections.defaultdict(set)
     for p, r in want.items():
         groups[r].add(p - (1 << 64) if p >> 63 else p)
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset([r, *(n for n, x in found.items() if x == r)]) for r in set(found.values())}
 
 
+def test_simhash_spanning_groups():
+    """Large groups: links join the same members as all pairs do, with fewer links than members."""
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 63, size=40, dtype=np.uint64)[rng.integers(0, 40, size=300)] ^ (np.uint64(1) << rng.integers(0, 64, size=300, dtype=np.uint64))
+    key = np.sort(rng.integers(0, 6, size=300))
+    a, b = simhash.group_links(key, fp, 3)
+    assert len(a) < 300 and (a < b).all()
+    few = simhash.group_links(key, fp, 3, few=1000)
+    together = lambda x, y: {frozenset(g) for g in _groups(zip(x.tolist(), y.tolist()))}
+    assert together(a, b) == together(*few) and len(few[0]) > len(a)
+
+
+def _groups(edges):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for x, y in edges:
+        root[find(x)] = find(y)
+    out = collections.defaultdict(set)
+    for i in list(root):
+        out[find(i)].add(i)
+    return out.values()
+
+
 def test_threshold_allocation():
-    cost, chosen = simhash.allocate([[0, 10, 400], [0, 50, 60], [0, 500, 900]], 0)
-    brute = min((sum(c[t + 1] for c, t in zip([[0, 10, 400], [0, 50, 60], [0, 500, 900]], ts)), ts) for ts in itertools.product((-1, 0, 1), repeat=3) if sum(ts) == 0)
-    assert (cost, tuple(chosen)) == brute
+    costs = [{-1: 0, 0: 10, 2: 400}, {-1: 0, 0: 50, 2: 60}, {-1: 0, 0: 500, 2: 900}]
+    for total in (-3, 0, 1, 3):
+        cost, chosen = simhash.allocate(costs, total)
+        brute = min(sum(c[t] for c, t in zip(costs, ts)) for ts in itertools.product((-1, 0, 2), repeat=3) if sum(ts) >= total)
+        assert cost == brute == sum(c[t] for c, t in zip(costs, chosen)) and sum(chosen) >= total
     parts = simhash.group_bits(np.eye(64), 3)
     assert sorted(b for p in parts for b in p) == list(range(64))
 
