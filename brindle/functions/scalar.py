@@ -51,6 +51,14 @@ def midnight(day: Column) -> Column:
     return day.cast("date").cast("timestamp_ntz")
 
 
+def day_at_most(moment: Column, limit: Column) -> Column:
+    """Whether a timestamp's day is at most ``limit`` (a date, or a timestamp that the day's midnight is compared with).
+
+    The column stands alone on its side, so a constant limit reaches the file scan; a cast of the column would not.
+    """
+    return moment < F.date_add(limit.cast("date"), 1).cast("timestamp_ntz")
+
+
 def shift(moment: Column, amount: int, unit: str) -> Column:
     """A timestamp plus an interval; months clamp to the last day of the month."""
     return moment + F.expr(f"interval '{amount}' {unit}")

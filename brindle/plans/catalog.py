@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import COMPARE, INTEGERS, arithmetic, common_type, compare_sign, date_shift, mixed_arithmetic, shift
+from ..functions.scalar import COMPARE, INTEGERS, arithmetic, common_type, compare_sign, date_shift, day_at_most, mixed_arithmetic, shift
 from ..operators import aggregate, joins
 from ..sources.tables import load, views
 from ..streaming.windows import tumbling_counts
@@ -167,10 +167,6 @@ def lines(condition, *more):
     return lambda spark, d: load(spark, d, "lineitem").filter(condition).select(*KEYS, *more)
 
 
-def shipped():
-    return C("l_shipdate").cast("date")
-
-
 def nulled():
     return F.nullif(C("l_linenumber"), F.lit(3))
 
@@ -181,8 +177,8 @@ def filters():
         "filter_single": lines(C("l_quantity") < 10),
         "filter_conjunction": lines((C("l_quantity") >= 10) & (C("l_quantity") <= 20) & (C("l_discount") > 0.05), "l_quantity"),
         "filter_null_is_not_true": lines(nulled() <= 4),
-        "date_le_date": lines(shipped() <= F.expr("date '1998-08-17'")),
-        "date_le_timestamp": lines(shipped() <= F.expr("timestamp_ntz '1998-08-17 12:00:00'")),
+        "date_le_date": lines(day_at_most(C("l_shipdate"), F.expr("date '1998-08-17'"))),
+        "date_le_timestamp": lines(day_at_most(C("l_shipdate"), F.expr("timestamp_ntz '1998-08-17 12:00:00'"))),
         "fb_or_not": lines((C("l_quantity") < 5) | ~(C("l_discount") < 0.09)),
         "fb_is_null": lines(nulled().isNull()),
         "fb_in_list": lines(C("l_linenumber").isin(1, 3)),
@@ -287,7 +283,7 @@ def group_no_aggregate(spark, d):
 @query
 def tpch_q1(spark, d):
     """Pricing summary, the flagship."""
-    rows = load(spark, d, "lineitem").filter(shipped() <= F.expr("date '1998-12-01' - interval '106' day"))
+    rows = load(spark, d, "lineitem").filter(day_at_most(C("l_shipdate"), F.expr("date '1998-12-01' - interval '106' day")))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum(Q).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(disc_price()), 2).alias("sum_disc_price"),
         F.round(F.sum(disc_price() * (1 + C("l_tax"))), 2).alias("sum_charge"), F.avg(Q).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
