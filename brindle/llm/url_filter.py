@@ -2,7 +2,8 @@
 
 Every url that a rule decides is an example: of accepted urls where the rule allows, of rejected ones where it blocks.
 All examples are counted, as character n-grams of ``^host path$`` up to ``ORDER`` letters of context. The models are
-variable-order: a letter is predicted from the longest context in which the examples show it, with its probability
+variable-order: a context counts if at least ``SEEN`` examples show it, so the contexts lengthen as the examples grow in number;
+a letter is predicted from the longest such context in which the examples show it, with its probability
 smoothed by the next shorter order (Dirichlet mass ``MASS``). Each n-gram stores how much it changes the log ratio
 of accepted to rejected over its own suffix, so a url's log-likelihood difference is a plain sum over its n-grams.
 It is divided by the number of letters and compared with the threshold that gives the least sum of both error rates
@@ -31,7 +32,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-ORDER, MASS = 3, 2.0
+ORDER, SEEN, MASS = 6, 4, 2.0
 BROADCAST_ROWS = 200_000
 #: Bins of the normalised score, of width 1 / GRID from -SPAN to SPAN.
 GRID, SPAN = 100, 6
@@ -70,7 +71,8 @@ def log_ratios(examples: DataFrame) -> DataFrame:
     counts = cut(grams(examples).groupBy("k", "gram").agg(F.sum("_accepted").cast("double").alias("a"), F.sum("_rejected").cast("double").alias("r")))
     context = counts.select("*", F.left("gram", F.col("k")).alias("ctx"))
     totals = context.groupBy("k", "ctx").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
-    full = context.join(totals, ["k", "ctx"]).select("k", "gram", "a", "r", "ta", "tr")
+    # A context's suffix is shown at least as often, so every gram that stays has its suffix.
+    full = context.join(totals.filter((F.col("k") == 0) | (F.col("ta") + F.col("tr") >= SEEN)), ["k", "ctx"]).select("k", "gram", "a", "r", "ta", "tr")
     below, parts = None, []
     for k in range(ORDER + 1):
         rows = full.filter(F.col("k") == k)

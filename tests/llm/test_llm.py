@@ -193,11 +193,12 @@ def test_url_models_agree_with_brute_force(spark):
             for k in range(url_filter.ORDER + 1):
                 if i >= k:
                     count["spam" in u][t[i - k : i + 1]] += 1
-    grams = set(count[0]) | set(count[1])
     total = [collections.Counter(), collections.Counter()]
     for side in (0, 1):
         for g, n in count[side].items():
             total[side][len(g), g[:-1]] += n
+    grams = {g for g in set(count[0]) | set(count[1]) if len(g) == 1 or total[0][len(g), g[:-1]] + total[1][len(g), g[:-1]] >= url_filter.SEEN}
+    assert max(map(len, grams)) == url_filter.ORDER + 1 and len(grams) < len(set(count[0]) | set(count[1]))
 
     def p(side, g):
         below = p(side, g[1:]) if len(g) > 1 else 1 / 256
