@@ -6,7 +6,7 @@
    bounded tables of counts reach the driver.
 2. Every document gets posteriors p[k] and its number of words as tokens.
 3. Rates r >= 0 solve the least squares between expected domain totals, sum of r * tokens * p[k], and target[k] *
-   all tokens, in the metric of the inverse Gram matrix of the token-weighted posteriors; among equal solutions they
+   the tokens of the domains that have a target (a domain without one is left alone), in the metric of the inverse Gram matrix of the token-weighted posteriors; among equal solutions they
    are the nearest to one. That is r = max(0, 1 - sum of p[k] * pull[k]), and pull comes from Newton steps on the dual
    problem, whose size is the number of domains. A distance to one with falling weights ``NEAR`` keeps the dual finite
    where targets are out of reach. An iteration is one aggregate of a few sums, and no row state is kept between iterations.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .shared import cut, load, text_or_empty
 
 DOMAINS = ("good", "poor", "toxic")
-TARGETS = {"good": 0.94, "poor": 0.03, "toxic": 0.03}
+#: Clean documents have posteriors of some percent for the other domains; targets at or under these would keep only extreme ones.
+TARGETS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
 #: Labelled documents of each domain that the classifier is fitted on, at most; words that it uses, at most.
 SAMPLE, VOCABULARY = 1500, 128
 #: Least log-odds of a telling word; weaker ones depend on each other too much for naive Bayes.
@@ -146,37 +147,48 @@ def rate_of(pull: list[float], p: Column) -> Column:
     return F.greatest(F.lit(0.0), sum((p[k] * F.lit(-float(x)) for k, x in enumerate(pull)), F.lit(1.0)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, enough: float = ENOUGH) -> list[float]:
-    """The pull of each domain, which makes the rates; members has _tokens and _p. Raises if ``rounds`` passes don't suffice."""
-    k = len(targets)
-    share = np.array(targets) / sum(targets)
+def fit_rates(members: DataFrame, targets: list[float | None], rounds: int = ROUNDS, enough: float = ENOUGH) -> list[float]:
+    """The pull of each domain, which makes the rates; members has _tokens and _p. Raises if ``rounds`` passes don't suffice.
+
+    A target of None leaves its domain alone: its tokens count neither as met nor as missed.
+    """
+    named = [i for i, x in enumerate(targets) if x is not None]
+    share = np.array([targets[i] for i in named])
+    share = share / share.sum()
     t = F.col("_tokens").cast("double")
+    p = [F.col("_p")[i] for i in named]
 
     def sums(rate: Column, x: list[Column]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Tokens; sums of rate * x[i]; sums of x[i] * x[j] where the rate is positive."""
+        """Tokens of the named domains; sums of rate * x[i]; sums of x[i] * x[j] where the rate is positive."""
         n = len(x)
         on = F.when(F.col("_r") > 0, t).otherwise(0.0)
         cells = [F.sum(on * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-        row = members.withColumn("_r", rate).agg(F.sum(t).alias("all"), *[F.sum(F.col("_r") * t * x[i]).alias(f"s{i}") for i in range(n)], *cells).first()
+        row = members.withColumn("_r", rate).agg(F.sum(t * sum(p[1:], p[0])).alias("all"), *[F.sum(F.col("_r") * t * x[i]).alias(f"s{i}") for i in range(n)], *cells).first()
         everything = row["all"] or 0.0
         if everything <= 0:
             return 0.0, np.zeros(n), np.zeros((n, n))
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
         return everything, np.array([row[f"s{i}"] for i in range(n)]) / everything, gram / everything
 
-    everything, _, gram = sums(F.lit(1.0), [F.col("_p")[i] for i in range(k)])
+    def pull_of(z: np.ndarray) -> list[float]:
+        pull = [0.0] * len(targets)
+        for i, v in zip(named, base @ z, strict=True):
+            pull[i] = float(v)
+        return pull
+
+    everything, _, gram = sums(F.lit(1.0), p)
     if everything <= 0:
-        return [0.0] * k
+        return [0.0] * len(targets)
     # Coordinates in which the Gram matrix is the identity; directions without mass go.
     size, axes = np.linalg.eigh(gram)
     seen = size > 1e-9 * size.max()
     base = axes[:, seen] / np.sqrt(size[seen])
-    x = [sum((F.col("_p")[i] * F.lit(float(base[i, j])) for i in range(k)), F.lit(0.0)) for j in range(base.shape[1])]
+    x = [sum((p[i] * F.lit(float(base[i, j])) for i in range(len(p))), F.lit(0.0)) for j in range(base.shape[1])]
     goal = base.T @ share
 
     def slope_at(z: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and Hessian of the dual."""
-        _, got, curve = sums(rate_of(base @ z, F.col("_p")), x)
+        _, got, curve = sums(rate_of(pull_of(z), F.col("_p")), x)
         return goal - got + near * z, curve + near * np.eye(len(z))
 
     z, left = np.zeros(len(goal)), rounds
@@ -196,7 +208,7 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, en
                 # Too far: the dual is convex, so its least value lies before. Behind a kink the secant falls short of it, so no less than a tenth.
                 length *= max(down / (down + rise), 0.1)
             z, gradient, hessian = z + length * step, there, curve
-    return [float(v) for v in base @ z]
+    return pull_of(z)
 
 
 def members(docs: DataFrame, model: Membership, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -213,14 +225,14 @@ def copies(rate: Column, key: Column) -> Column:
 def label(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_words, posteriors, rate, n_copies of every row."""
     slim = cut(members(docs, train(docs, labels)))
-    rated = slim.withColumn("rate", rate_of(fit_rates(slim, [targets[d] for d in DOMAINS]), F.col("_p")))
+    rated = slim.withColumn("rate", rate_of(fit_rates(slim, [targets.get(d) for d in DOMAINS]), F.col("_p")))
     return rated.select(F.col("_id").alias("doc_id"), F.col("_tokens").alias("n_words"), *[F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("_id")).alias("n_copies"))
 
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The drawn rows with all their columns. Rates come from posteriors alone, so texts are read twice, never shuffled."""
     model = train(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), labels)
-    pull = fit_rates(cut(members(docs, model, id_column, text_column)), [targets[d] for d in DOMAINS])
+    pull = fit_rates(cut(members(docs, model, id_column, text_column)), [targets.get(d) for d in DOMAINS])
     # The row travels as one struct, so that no column name of the caller's can clash.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_own"))
     rated = model.apply(features(whole, "_own")).withColumn("_n", let(F.col("_p"), lambda p: copies(rate_of(pull, p), F.col("_id"))))

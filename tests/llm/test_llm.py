@@ -316,6 +316,22 @@ def test_mixing_rates_meet_attainable_targets(spark, parts):
         mixing.fit_rates(members, share, rounds=1)
 
 
+def test_mixing_leaves_a_domain_without_target_alone(spark):
+    """Two domains meet their targets among themselves; the third, next to nothing, doesn't pull the rates."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    p = np.stack([rng.choice([0.95, 0.1], size=n, p=[0.8, 0.2]), np.full(n, 1e-5), np.zeros(n)], axis=1)
+    p[:, 2] = 1 - p[:, :2].sum(axis=1)
+    t = rng.integers(1, 2000, size=n)
+    members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(n)], "_id bigint, _tokens bigint, _p array<double>")
+    pull = mixing.fit_rates(members, [0.93, None, 0.07])
+    assert pull[1] == 0
+    r = np.array([row["r"] for row in members.withColumn("r", mixing.rate_of(pull, F.col("_p"))).orderBy("_id").collect()])
+    got = (r * t) @ p
+    assert got[[0, 2]] / (t @ p[:, [0, 2]]).sum() == pytest.approx([0.93, 0.07], abs=2e-5)
+    assert r.max() < 2 and (r[p[:, 0] > 0.5] >= 1).all()
+
+
 def test_mixing_rates_of_targets_out_of_reach(spark):
     """The conditions of the least squares: no gradient at positive rates, none below zero at zero rates."""
     p = np.array([[0.5, 0.5, 0.0], [0.9, 0.1, 0.0], [0.2, 0.8, 0.0]])
@@ -598,7 +614,7 @@ def test_pipeline(spark):
     before, after = rows["exact dedup"]
     assert {r.doc_id for r in after} == {c[1] for c in slow_classes(before)}
     before, after = rows["SimHash near-dedup"]
-    assert {r.doc_id for r in after} == set(slow_components({i: slow_fingerprint(t) for i, t in before}).values())
+    assert {r.doc_id for r in after} == set(slow_components({i: slow_fingerprint(t, 5) for i, t in before}, corpus_pipeline.NEAR_BITS).values())
     before, after = rows["mixing to target weights"]
     assert collections.Counter((r.doc_id, r.text) for r in after).keys() <= set(before)
     before, after = rows["BPE encoding"]
