@@ -117,6 +117,8 @@ class WordBPE:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def words(self, text: str) -> list[bytes]:
+        if text.isascii() and text.isalpha():  # the usual case without the pattern
+            return [text.lower().encode()]
         return [w.encode() for w in self.WORDS.findall(self.normal(text))]
 
     def chunk_count(self, chunk: str) -> int:

@@ -252,6 +252,26 @@ def test_exact_dedup(spark):
     assert exact_dedup.label(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("limit", [16 << 20, -1])
+def test_rows_without_some_ids(spark, monkeypatch, limit):
+    """Broadcast or shuffled: ids that repeat, a null id on either side, clashing column names, string ids, no ids at all."""
+    monkeypatch.setattr(shared, "SMALL_IDS", limit)
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "_gone bigint, _row string")
+    gone = spark.createDataFrame([(1,), (1,), (None,), (7,)], "x bigint")
+    left = shared.without(docs, gone, "_gone")
+    assert left.columns == docs.columns and sorted(r[1] for r in left.collect()) == ["c", "d"]
+    named = docs.select(F.col("_gone").cast("string").alias("_key"), "_row")
+    assert sorted(r[1] for r in shared.without(named, gone.select(F.col("x").cast("string")), "_key").collect()) == ["c", "d"]
+    assert shared.without(docs, gone.limit(0), "_gone").count() == 4
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    """One text in a third of the rows over many partitions, with ids in no order."""
+    rows = [(997 * i % 3001, "the same\t text" if i % 3 == 0 else f"text {i % 500}") for i in range(3001)]
+    found = exact_dedup.label(frame(spark, rows).repartition(37))
+    assert sorted(map(tuple, found.collect()), key=repr) == slow_classes(rows)
+
+
 def test_exact_dedup_splits_collisions(spark):
     """With a hash of three values, texts that share it stay apart."""
     rows = [(i, f"text {i % 40}") for i in range(200)]
