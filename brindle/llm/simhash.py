@@ -11,7 +11,7 @@ Fingerprints are 64 bits over XXH64 hashes of word shingles. Two fingerprints li
    T / 2 of both, so both sides probe balls of half the radius, and a probe row is the same for either side.
 3. Fingerprints that probe the same value meet in one group, where the whole distance is verified. A small group gives
    all its links; in one of over ``FEW`` members each member is compared with those not reached yet, which gives links enough
-   to join what is within reach, one less than members at most, and never all pairs.
+   to join what is within reach, no more than members, and never all pairs.
 4. Values that over ``crowd`` fingerprints probe don't go into one task. Their members are first linked to a few pivots of the
    value; then only members outside a value's most frequent component are joined with the value's members, and only across
    components. These joins read written rows, so that Spark can split a value that holds most of them.
@@ -37,6 +37,8 @@ from .shared import cut, load, without
 BITS = 64
 #: Members of a group of which all pairs are compared; fingerprints that probe one value in one task; rows that a worker gathers before it compares.
 FEW, CROWD, GATHER = 16, 20_000, 1 << 18
+#: Members of a group that are compared at once, as a square.
+SQUARE = 512
 #: Pivots of a crowded value.
 PIVOTS = 8
 #: Largest threshold of a part: its probes are a ball of half that radius.
@@ -203,7 +205,15 @@ def keyed(points: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def spanning(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of one group: each member reaches what no earlier one has reached."""
+    """Links of a spanning forest of one group: each member reaches what no earlier one has reached.
+
+    Where a group is small enough to compare at once and has no more links than members, it gives all of them.
+    """
+    if len(fp) <= SQUARE:
+        near = np.bitwise_count(fp[:, None] ^ fp) <= max_bits
+        if np.count_nonzero(near) <= 3 * len(fp):
+            x, y = np.nonzero(np.triu(near, 1))
+            return fp[x], fp[y]
     left, ends = np.arange(1, len(fp)), []
     waiting = [0]
     while len(left):
@@ -294,15 +304,19 @@ def crowd_links(found: DataFrame, members: DataFrame, max_bits: int) -> DataFram
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) of every node with an edge (a, b), a < b."""
+    """node, root (the smallest node of its component) of every node with an edge (a, b), a < b.
+
+    What a node's rows are joined with is written first: Spark splits a node that has most of the rows only where
+    no aggregate by the node lies right below the join.
+    """
     edges = cut(edges.select("a", "b").filter("a <> b").distinct())
     mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b"), F.col("m").alias("a"))
-        down = large.filter("a <> b").select("b", "a").distinct()  # each b has neighbours a below it
-        low = down.groupBy("b").agg(F.min("a").alias("m"))
+        down = cut(large.filter("a <> b").select("b", "a").distinct())  # each b has neighbours a below it
+        low = cut(down.groupBy("b").agg(F.min("a").alias("m")))
         small = down.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         edges = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.countDistinct("b").alias("k")).first()
@@ -320,7 +334,7 @@ def label(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     points = cut(rows.groupBy("fp").agg(F.min("_id").alias("first")))
     found = components(links(points.select("fp"), max_bits, crowd))
     rooted = points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     by_point = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(by_point, "fp").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

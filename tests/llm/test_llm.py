@@ -118,16 +118,19 @@ def test_simhash_links_of_dense_groups(spark, max_bits, crowd):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset([r, *(n for n, x in found.items() if x == r)]) for r in set(found.values())}
 
 
-def test_simhash_spanning_groups():
-    """Large groups: links join the same members as all pairs do, with fewer links than members."""
+def test_simhash_spanning_groups(monkeypatch):
+    """Large groups: links join the same members as all pairs do, with no more links than members."""
     rng = np.random.default_rng(4)
     fp = rng.integers(0, 1 << 63, size=40, dtype=np.uint64)[rng.integers(0, 40, size=300)] ^ (np.uint64(1) << rng.integers(0, 64, size=300, dtype=np.uint64))
     key = np.sort(rng.integers(0, 6, size=300))
-    a, b = simhash.group_links(key, fp, 3)
-    assert len(a) < 300 and (a < b).all()
-    few = simhash.group_links(key, fp, 3, few=1000)
     together = lambda x, y: {frozenset(g) for g in _groups(zip(x.tolist(), y.tolist()))}
-    assert together(a, b) == together(*few) and len(few[0]) > len(a)
+    for bits in (3, 30):
+        few = simhash.group_links(key, fp, bits, few=1000)
+        for square in (0, simhash.SQUARE):
+            monkeypatch.setattr(simhash, "SQUARE", square)
+            a, b = simhash.group_links(key, fp, bits)
+            assert len(a) <= 300 and (a < b).all() and together(a, b) == together(*few)
+        assert bits == 3 or len(few[0]) > 1000
 
 
 def _groups(edges):
